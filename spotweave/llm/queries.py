@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, url_filter
+from . import bpe, jaccard, url_filter
 from .store import table
 
 #: The configured URL rules: host, path, action.
@@ -34,10 +34,15 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_filters": op4_url_filters,
         "op8_bpe_encode_decode": op8_bpe_encode_decode,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
