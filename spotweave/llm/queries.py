@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, suffix_dedup, url_filter
+from . import bpe, jaccard, language_model, suffix_dedup, toxicity, url_filter
 from .store import table
 
 #: The configured URL rules: host, path, action.
@@ -30,6 +30,13 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return toxicity.score_texts(docs, model).select("doc_id", held_out, "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,10 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -45,8 +56,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_filters": op4_url_filters,
+        "op5_toxicity": op5_toxicity,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op8_bpe_encode_decode": op8_bpe_encode_decode,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 

@@ -61,6 +61,17 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((total[ends] - total[starts]) * pw[n - starts] * pw[len(pw) - 1 - n] + (ends - starts).astype(U64))
 
 
+def prefix_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """``span_hashes`` of each span, then of its first ``length`` values for each length (all of a shorter one)."""
+    n = len(values)
+    pw = powers(n)
+    total = np.zeros(n + 1, U64)
+    np.cumsum(values * pw[:n], out=total[1:])
+    scale = pw[n - starts] * pw[len(pw) - 1 - n]
+    cuts = [ends, *(np.minimum(ends, starts + k) for k in lengths)]
+    return [mix64((total[e] - total[starts]) * scale + (e - starts).astype(U64)) for e in cuts]
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of the rows in them); null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,6 +104,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hashes(_BYTES[data], starts, ends)
 
 
+def word_and_prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    return prefix_hashes(_BYTES[data], starts, ends, lengths)
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """The hash of the ``n`` words from each place on, for the len(h) - n + 1 places that have so many."""
     m = len(h) - n + 1

@@ -1,0 +1,75 @@
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from spotweave.llm import toxicity as tox
+
+
+def brute_segments(scores):
+    """Maximal segments by their definition: greatest score first, then the same to its left and right."""
+    def find(a, z):
+        best = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i, j in itertools.combinations(range(a, z + 1), 2)), default=None)
+        if not best or best[0] <= 1e-12:
+            return []
+        i, j = best[3], best[4]
+        return [*find(a, i), (i, j, best[0]), *find(j, z)]
+
+    return find(0, len(scores))
+
+
+def test_segments_match_definition():
+    r = random.Random(3)
+    for _ in range(60):
+        n = r.randrange(1, 25)
+        drift = r.choice([0.1, 0.37, 0.9])
+        at = sorted(r.sample(range(n), r.randrange(0, min(n, 8) + 1)))
+        score = [r.uniform(0.1, 2) for _ in at]
+        dense = [-drift] * n
+        for p, s in zip(at, score):
+            dense[p] = s
+        got = tox.maximal_segments(at, score, drift)
+        want = brute_segments(dense)
+        assert [(a, z) for a, z, _ in got] == [(a, z) for a, z, _ in want]
+        assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        w = r.choices(words, k=r.randrange(30, 120))
+        if bad:
+            for _ in range(6):
+                w.insert(r.randrange(len(w)), r.choice(["Vile", "rotten", "grublike", "grubby"]))
+        docs.append((i, " ".join(w), "en"))
+        labels.append((i, 1, int(bad)))
+    docs += [(700, None, None), (701, "", "en"), (702, "vile rotten grubber vile rotten vile", None)]
+    labels += [(9999, 1, 1), (3, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string").repartition(3)
+    return df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_held_out_accuracy(tables):
+    docs, labels = tables
+    model = tox.train(docs, labels)
+    got = tox.score_texts(docs, model).withColumn("h", tox.held_out(F.col("doc_id"))).join(labels.select("doc_id", "toxic"), "doc_id", "left").collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 604  # one label is repeated
+    held = [r for r in got if r["h"] and r["toxic"] is not None]
+    assert sum(r["predicted"] == r["toxic"] for r in held) >= 0.97 * len(held)
+    assert by[702]["predicted"] == 1 and by[702]["segments"]
+    assert by[700]["score"] == by[701]["score"] < 0.5
+    kept = {r[0] for r in tox.without_toxic(docs, model).collect()}
+    assert 702 not in kept and {700, 701} <= kept
+
+
+def test_without_labels_nothing_is_toxic(tables, spark):
+    docs, labels = tables
+    model = tox.train(docs, labels.limit(0))
+    assert tox.score_texts(docs, model).where("predicted = 1").count() == 0
+    assert tox.score_texts(docs.limit(0), model).collect() == []
