@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language_model, packing, suffix_dedup, toxicity, url_filter
+from . import bpe, jaccard, language_model, packing, simhash, suffix_dedup, toxicity, url_filter
 from .store import table
 
 #: The configured URL rules: host, path, action.
@@ -29,6 +29,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -60,6 +64,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_document_fingerprints": op3_document_fingerprints,
         "op4_url_filters": op4_url_filters,
         "op5_toxicity": op5_toxicity,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
