@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language_model, packing, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, jaccard, language_model, mtree, packing, pii, simhash, suffix_dedup, toxicity, url_filter
 from .store import table
 
 #: The configured URL rules: host, path, action.
@@ -25,6 +25,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The pseudonyms' key in these queries, which are for checks only; a deployment takes its own from a secret store.
+PSEUDONYM_KEY = "example key"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PSEUDONYM_KEY, count_col="n_replaced")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -49,6 +58,12 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), mtree.scaled(F.col("embedding")).alias("vector"))
+    found = mtree.top_k(vectors, vectors.where("id % 50 = 0"), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -63,11 +78,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_pseudonyms": op1_pii_pseudonyms,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_document_fingerprints": op3_document_fingerprints,
         "op4_url_filters": op4_url_filters,
         "op5_toxicity": op5_toxicity,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op7_exact_top_k": op7_exact_top_k,
         "op8_bpe_encode_decode": op8_bpe_encode_decode,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -90,5 +107,15 @@ best AS (
   FROM base b LEFT JOIN rules r
     ON (b.host = r.r_host OR ends_with(b.host, '.' || r.r_host)) AND starts_with(b.path, r.r_path))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best WHERE k = 1
+""",
+        "op7_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """,
     }
