@@ -243,3 +243,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     shared = classes.join(known, "key", "left").select("key", F.coalesce("least", "first").alias("least"))
     out = members.join(shared, "key", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component; rows of one id stay or go together, rows without an id stay."""
+    found = jaccard_components(docs, n, num, den, id_col, text_col)
+    gone = settle(found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "near-duplicates")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")

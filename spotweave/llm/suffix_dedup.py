@@ -31,7 +31,8 @@ from .store import settle
 
 #: Words of a passage, and of the gram that a retained suffix starts with.
 LENGTH, GRAM = 50, 25
-BROADCAST_IDS = 1_000_000
+#: Ids (8 bytes each) and cuts (about 20 bytes) that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS, BROADCAST_CUTS = 1_000_000, 500_000
 
 
 def _slide(a: np.ndarray, w: int, pick) -> np.ndarray:
@@ -155,7 +156,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     """``docs`` with repeated spans cut from their texts (each cut closes up to the next word); rows that lose all their words go."""
     spans = repeated_spans(docs, length, gram, id_col, text_col)
     cuts = settle(spans.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__cuts")), "cuts")
-    out = docs.join(cuts, id_col, "left")
+    size = cuts.agg(F.sum(F.size("__cuts"))).first()[0] or 0
+    out = docs.join(F.broadcast(cuts) if size <= BROADCAST_CUTS else cuts, id_col, "left")
     at = out.columns.index(text_col)
 
     def run(batches):
