@@ -142,3 +142,24 @@ def highly_variable_genes(lognorm: DataFrame, n_obs: int, top: int = 2000, bins:
     scored = per.join(stats, "bin").withColumn("score", F.when(F.col("s") > 0, (F.col("dispersion") - F.col("m")) / F.col("s")).otherwise(1.0))
     best = scored.orderBy(F.desc("score"), "gene").limit(top)
     return best.select("gene", "mean", "dispersion", "score")
+
+
+def marker_types(means: DataFrame) -> DataFrame:
+    """gene, cell_type of its greatest mean; ties go to the first type."""
+    place = F.row_number().over(Window.partitionBy("gene").orderBy(F.desc("mean"), "cell_type"))
+    return means.withColumn("__p", place).where("__p = 1").select("gene", "cell_type")
+
+
+def candidate_types(scores: DataFrame, cutoff: float = 1.0) -> DataFrame:
+    """``scores``: cluster, cell_type, z per observation.  Types whose greatest z in a cluster exceeds the cutoff, or its two best where fewer than two do."""
+    top = scores.groupBy("cluster", "cell_type").agg(F.max("z").alias("z"))
+    held = Window.partitionBy("cluster")
+    above = F.count(F.when(F.col("z") > cutoff, 1)).over(held)
+    ranked = top.withColumn("__n", above).withColumn("__p", F.row_number().over(held.orderBy(F.desc("z"), "cell_type")))
+    return ranked.where(((F.col("__n") >= 2) & (F.col("z") > cutoff)) | ((F.col("__n") < 2) & (F.col("__p") <= 2))).select("cluster", "cell_type", "z")
+
+
+def stratified_sample(rows: DataFrame, by: str, id_col: str, most: int, seed: int = 0) -> DataFrame:
+    """Up to ``most`` rows of every stratum, the least by a seeded hash of the id: the same for any partitioning."""
+    order = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    return rows.withColumn("__p", F.row_number().over(Window.partitionBy(by).orderBy(order, id_col))).where(F.col("__p") <= most).drop("__p")
