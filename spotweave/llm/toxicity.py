@@ -49,15 +49,22 @@ class Model:
     intercept: float = -3.0
     slope: float = 1.0
 
+    def __post_init__(self):
+        #: Whether any table word has these 16 high bits: most tokens are told by one look.
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[(self.words >> np.uint64(48)).astype(np.int64)] = True
+
     def best(self, tokens: list[np.ndarray]) -> np.ndarray:
         """Each word's best token in the table by score, -1 where it has none."""
         out = np.full(len(tokens[0]), -1)
-        if len(self.words):
-            for h in tokens:
-                at = np.searchsorted(self.words, h)
-                at[at == len(self.words)] = 0
-                at = np.where(self.words[at] == h, at, -1)
-                out = np.where((at >= 0) & ((out < 0) | (self.scores[at] > self.scores[out])), at, out)
+        for h in tokens if len(self.words) else []:
+            word = np.flatnonzero(self.sieve[h >> np.uint64(48)])
+            at = np.searchsorted(self.words, h[word])
+            at[at == len(self.words)] = 0
+            found = self.words[at] == h[word]
+            word, at = word[found], at[found]
+            better = (out[word] < 0) | (self.scores[at] > self.scores[out[word]])
+            out[word[better]] = at[better]
         return out
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
