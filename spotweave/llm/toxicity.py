@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
+from .store import settle
 
 #: Labelled documents learnt from at most, the least by a hash of their id (12 bytes each are broadcast).
 TRAIN_ROWS = 200_000
-#: Words in the table at most (16 bytes each), those of the greatest z; least z and least number of toxic documents of a word.
-TABLE_WORDS, LEAST_Z, LEAST_DOCS = 50_000, 4.0, 5
+#: Tokens in the table at most (16 bytes each), those of the greatest z; a token's least z, log-odds ratio and number of toxic documents.
+TABLE_WORDS, LEAST_Z, LEAST_ODDS, LEAST_DOCS = 50_000, 4.0, 2.0, 5
 #: Lengths of the prefixes, in bytes.
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Weight of the Dirichlet prior, in documents.
@@ -117,7 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    # Copies of a text say no more than one of them.
+    texts = settle(texts.select(F.coalesce("text", F.lit("")).alias("text"), "y").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "labelled")
 
     def count(batches):
         for batch in batches:
@@ -147,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = lambda y, n: F.log((y + a) / (F.lit(n + PRIOR) - y - a + F.lit(0.5)))
     delta = odds(F.col("y1"), n1) - odds(F.col("y0"), n0)
     z = delta / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    rows = counts.where(F.col("y1") >= LEAST_DOCS).select("word", delta.alias("delta"), z.alias("z"), "y1", "y0").where(F.col("z") >= LEAST_Z)
+    rows = counts.where(F.col("y1") >= LEAST_DOCS).select("word", delta.alias("delta"), z.alias("z"), "y1", "y0").where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_ODDS))
     rows = rows.orderBy(F.desc("z"), "word").limit(TABLE_WORDS).toPandas()
     if not len(rows):
         return Model()
