@@ -16,11 +16,13 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import parallelism
+from .store import parallelism, settle
 
 BITS = 128
 #: Documents of a bucket that one window orders, on average.
 BUCKET = 64
+#: First rows of buckets that are looked up by broadcast (24 bytes each); more of them by shuffle.
+BROADCAST_HEADS = 500_000
 _LANES = 0x0000000100000001
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -55,13 +57,15 @@ def decide() -> Column:
     return F.concat(*halves)
 
 
-def fingerprint_by(texts: DataFrame, keys: list[str], text_col: str, carry: str | None = None) -> DataFrame:
-    """Per row (told by ``keys``, which must tell rows apart): keys, fingerprint and the ``carry`` column."""
-    rows = texts.select(*keys, *([carry] if carry else []), F.posexplode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "t"))
-    aggs = vote_sums(F.col("t.a"), F.col("t.b"))
-    if carry:
-        aggs.append(F.max(F.when(F.col("pos") == 0, F.col(carry))).alias(carry))
-    return rows.groupBy(*keys).agg(*aggs).select(*keys, *([carry] if carry else []), decide().alias("fingerprint"))
+def fingerprint_by(texts: DataFrame, keys: list[str], text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row (told by ``keys``, which must tell rows apart): keys, fingerprint and the ``carry`` columns, which must be longs.
+
+    All aggregates are of fixed width, so the terms of a text are added up in a
+    hash table and never sorted.
+    """
+    rows = texts.select(*keys, *carry, F.posexplode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "t"))
+    aggs = vote_sums(F.col("t.a"), F.col("t.b")) + [F.max(F.when(F.col("pos") == 0, F.col(c))).alias(c) for c in carry]
+    return rows.groupBy(*keys).agg(*aggs).select(*keys, *carry, decide().alias("fingerprint"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,58 +113,76 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, radius: int = 3, blo
     return pairs.select("query", "near", "distance").distinct()
 
 
-def _with_next(rows: DataFrame, bucket: str, order: list[str], value: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: the value of the next row by (bucket, order), of the first row for the last.
+def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``rows`` and, at the end of each bucket (``head`` 1), the first row of the next one; after the last bucket that of the first.
 
-    Each bucket is a window of its own; its last row gets the next bucket's
-    first, and buckets are ordered in two levels, so no window holds all rows.
+    Buckets are ordered in two levels, so no window holds all of them.
     """
-    held = Window.partitionBy(bucket).orderBy(*order)
-    at = rows.withColumn("__rank", F.row_number().over(held)).withColumn("__lead", F.lead(F.struct(F.col(value).alias("v"))).over(held))
-    heads = at.where("__rank = 1").select(F.col(bucket).alias("__b"), F.col(value).alias("__head"))
-    upper = F.floor(F.col("__b") / 4096)
-    inner = Window.partitionBy("__u").orderBy("__b")
-    ids = heads.select("__b", upper.alias("__u")).withColumn("__n", F.lead("__b").over(inner)).withColumn("__r", F.row_number().over(inner))
-    tops = ids.where("__r = 1").select("__u", F.col("__b").alias("__t"))
-    every = Window.orderBy("__u")
-    tops = tops.select("__u", F.coalesce(F.lead("__t").over(every), F.first("__t").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__t"))
-    after = ids.join(tops, "__u").select(F.col("__b").alias(bucket), F.coalesce("__n", "__t").alias("__b")).join(heads, "__b").select(bucket, "__head")
-    return at.join(after, bucket, "left").select(*rows.columns, F.when(F.col("__lead").isNotNull(), F.col("__lead.v")).otherwise(F.col("__head")).alias(name))
+    upper = F.floor(F.col("bucket") / 4096)
+    inner = Window.partitionBy("u").orderBy("bucket")
+    ids = heads.select("bucket", upper.alias("u")).withColumn("n", F.lag("bucket").over(inner)).withColumn("r", F.row_number().over(inner.orderBy(F.desc("bucket"))))
+    every = Window.orderBy("u")
+    tails = ids.where("r = 1").select("u", F.col("bucket").alias("t"))
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tails = tails.select("u", F.coalesce(F.lag("t").over(every), F.last("t").over(whole)).alias("t"))
+    before = ids.join(tails, "u").select("bucket", F.coalesce("n", "t").alias("before"))
+    moved = heads.join(before, "bucket").drop("bucket").withColumnRenamed("before", "bucket")
+    return rows.withColumn("head", F.lit(0)).unionByName(moved.withColumn("head", F.lit(1)))
+
+
+def _buckets(docs: DataFrame) -> DataFrame:
+    """bucket, id, th (hash of the text) and text; a bucket is a range of ids of ``BUCKET`` rows on average."""
+    low, high, count = docs.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    width = max(1, (high - low + 1) * BUCKET // count) if count else 1
+    bucket = F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)).cast("bigint")
+    return docs.select(bucket.alias("bucket"), "id", F.xxhash64("text").alias("th"), "text")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness.
 
     The edited text has the last floor(n / 2) of n characters replaced by the
-    first as many (or all) of the next row's, by ascending id (then text; after
-    the last the first).  Rows without an id are left out.  Per row: id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    first as many (or all) of the next row's, by ascending id (then a hash of the
+    text; after the last the first).  Rows without an id are left out.  Per row:
+    id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Texts are shuffled once, by bucket; the first text of each bucket, a small
+    part of them, joins the bucket before.
     """
+    spark = docs.sparkSession
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, count = base.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    width = max(1, (high - low + 1) * BUCKET // count) if count else 1
-    rows = base.withColumn("bucket", F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)).cast("bigint"))
-    rows = rows.repartition(parallelism(docs.sparkSession), "bucket")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id", "text")))
-    rows = _with_next(rows, "bucket", ["id", "place"], "text", "next_text")
+    rows = _buckets(base)
+    first = rows.groupBy("bucket").agg(F.min(F.struct("id", "th")).alias("m")).select("bucket", "m.id", "m.th")
+    few = first.limit(BROADCAST_HEADS + 1).count() <= BROADCAST_HEADS
+    heads = settle(rows.join(F.broadcast(first) if few else first, ["bucket", "id", "th"], "left_semi").dropDuplicates(["bucket"]), "heads")
+    dealt = _with_heads(rows, heads).repartition(parallelism(spark), "bucket")
+    order = Window.partitionBy("bucket").orderBy("head", "id", "th")
+    dealt = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order)).where("head = 0")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
-    both = rows.select("bucket", "id", "place", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
-    both = both.withColumn("note", F.struct("n_chars", F.sha2("edited", 256).alias("sha")))
-    none = F.lit(None).cast("struct<n_chars:bigint,sha:string>")
-    each = both.select("bucket", "id", "place", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t"), none.alias("n")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t"), F.col("note").alias("n")))).alias("e"))
-    each = each.select("bucket", "id", "place", F.col("e.k").alias("k"), F.col("e.t").alias("text"), F.to_json("e.n").alias("note"))
-    prints = fingerprint_by(each, ["bucket", "id", "place", "k"], "text", "note")
-    wide = prints.groupBy("bucket", "id", "place").agg(
+    both = dealt.select("bucket", "id", "th", "place", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
+    sha = F.sha2("edited", 256)
+    word = lambda at: F.conv(F.substring(sha, at, 8), 16, 10).cast("bigint")
+    parts = [F.shiftleft(word(16 * i + 1), 32).bitwiseOR(word(16 * i + 9)) for i in range(4)]
+    none = F.lit(None).cast("bigint")
+    noted = ["n_chars", *(f"sha{i}" for i in range(4))]
+    entry = lambda k, t, values: F.struct(F.lit(k).alias("k"), F.col(t).alias("text"), *[v.alias(n) for v, n in zip(values, noted)])
+    pair = F.array(entry(0, "text", [none] * 5), entry(1, "edited", [F.col("n_chars"), *parts]))
+    each = both.select("bucket", "id", "th", "place", F.inline(pair))
+    prints = fingerprint_by(each, ["bucket", "id", "th", "place", "k"], "text", tuple(noted))
+    wide = prints.groupBy("bucket", "id", "th", "place").agg(
         F.max(F.when(F.col("k") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("k") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-        F.max("note").alias("note"),
+        *[F.max(n).alias(n) for n in noted],
     )
-    wide = _with_next(wide, "bucket", ["id", "place"], "fingerprint", "next_fingerprint")
+    wide = settle(wide, "fingerprints")
+    dealt = _with_heads(wide, wide.where("place = 1"))
+    order = Window.partitionBy("bucket").orderBy("head", "place")
+    wide = dealt.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("head = 0")
     return wide.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
-        F.get_json_object("note", "$.n_chars").cast("bigint").alias("n_chars"),
-        F.get_json_object("note", "$.sha").alias("edited_sha256"),
+        "n_chars",
+        F.concat(*[F.lpad(F.lower(F.hex(f"sha{i}")), 16, "0") for i in range(4)]).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
