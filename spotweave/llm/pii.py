@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 10
 #: Days from 1900-01-01 to 2099-12-31, as a product, which makes them a two-digit number of mixed radix.
 DAY_RADIX = (17, 4297)
-#: A text without a match of this has no value to replace.
-HINT = r"@|[0-9]{2}"
+#: A text without a match of this has no value to replace: every match of a form in FORMS holds one (an e-mail its @, octets a dot between digits, a hex token 32 of its characters, the others two digits in a row).
+HINT = r"@|[0-9]{2}|[0-9]\.[0-9]|[0-9a-f]{32}"
 
 _L, _R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"

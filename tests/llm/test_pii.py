@@ -65,3 +65,19 @@ def test_permutations_are_one_to_one(spark):
 
 def test_empty_table(frame):
     assert pii.pseudonymize(frame.limit(0), "k").collect() == []
+
+
+def test_values_without_two_digits_in_a_row_are_replaced_in_any_text(spark):
+    token = "a1b2c3d4" * 4
+    texts = ["host 8.8.8.8 is down", "in 2024 host 8.8.8.8 was up", f"token {token}", f"token {token} of 2024", "none: a.b, 1.x, 7 a1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymize(frame, "k", count_col="n").cache()
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in out.collect()}
+    assert [got[i][1] for i in range(5)] == [1, 1, 1, 1, 0] and got[4][0] == texts[4]
+    assert not any(v in got[i][0] for i in range(4) for v in ("8.8.8.8", token))
+    assert got[0][0].split()[1] == got[1][0].split()[3] and got[2][0].split()[1] == got[3][0].split()[1]
+    plain = {r["doc_id"]: r["text"] for r in pii.pseudonymize(frame, "k").collect()}
+    assert plain == {i: t for i, (t, _) in got.items()}
+    # The address's pseudonym comes back whatever it looks like.
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymize(out.drop("n"), "k", backwards=True).collect()}
+    assert back == dict(enumerate(texts))
