@@ -160,27 +160,25 @@ def sinkhorn(a: np.ndarray, b: np.ndarray, cost: np.ndarray, reg: float = 0.01,
     return np.exp((f[:, None] + g[None, :] - cost) / reg)
 
 
-def delaunay_edges(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Edges (i < j) of the Delaunay triangulation by incremental insertion; fewer than three or collinear points give the complete graph."""
+def delaunay_circles(px: np.ndarray, py: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Centre and squared radius of the circle through each triangle's corners."""
+    ax, ay = px[t[:, 0]], py[t[:, 0]]
+    bx, by, cx, cy = px[t[:, 1]] - ax, py[t[:, 1]] - ay, px[t[:, 2]] - ax, py[t[:, 2]] - ay
+    d = 2 * (bx * cy - by * cx)
+    d = np.where(np.abs(d) < 1e-300, 1e-300, d)
+    ux = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d
+    uy = (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+    return np.stack([ux + ax, uy + ay, ux * ux + uy * uy], 1)
+
+
+def delaunay_triangles(x: np.ndarray, y: np.ndarray, frame: tuple[float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Triangles and their circles, with the three corners ``n``, ``n + 1``, ``n + 2`` of a triangle far around ``frame`` (middle and span; the points' own by default)."""
     n = len(x)
-    every = np.array([(i, j) for i in range(n) for j in range(i + 1, n)], int).reshape(-1, 2) if n < 4 else None
-    if n < 3:
-        return every
-    mid, span = np.array([x.mean(), y.mean()]), max(np.ptp(x), np.ptp(y), 1e-9)
-    px = np.concatenate([x, mid[0] + span * np.array([-50.0, 50.0, 0.0])])
-    py = np.concatenate([y, mid[1] + span * np.array([-40.0, -40.0, 60.0])])
-
-    def circles(t: np.ndarray) -> np.ndarray:
-        ax, ay = px[t[:, 0]], py[t[:, 0]]
-        bx, by, cx, cy = px[t[:, 1]] - ax, py[t[:, 1]] - ay, px[t[:, 2]] - ax, py[t[:, 2]] - ay
-        d = 2 * (bx * cy - by * cx)
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-        ux = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d
-        uy = (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        return np.stack([ux + ax, uy + ay, ux * ux + uy * uy], 1)
-
+    mx, my, span = frame or (x.mean(), y.mean(), max(np.ptp(x), np.ptp(y), 1e-9))
+    px = np.concatenate([x, mx + span * np.array([-50.0, 50.0, 0.0])])
+    py = np.concatenate([y, my + span * np.array([-40.0, -40.0, 60.0])])
     tri = np.array([[n, n + 1, n + 2]])
-    circle = circles(tri)
+    circle = delaunay_circles(px, py, tri)
     for i in np.lexsort((y, x)):
         inside = (px[i] - circle[:, 0]) ** 2 + (py[i] - circle[:, 1]) ** 2 < circle[:, 2] * (1 + 1e-12)
         gone = tri[inside]
@@ -189,7 +187,17 @@ def delaunay_edges(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         rim = uniq[count == 1]
         new = np.column_stack([rim, np.full(len(rim), i)])
         tri = np.concatenate([tri[~inside], new])
-        circle = np.concatenate([circle[~inside], circles(new)])
+        circle = np.concatenate([circle[~inside], delaunay_circles(px, py, new)])
+    return tri, circle
+
+
+def delaunay_edges(x: np.ndarray, y: np.ndarray, frame: tuple[float, float, float] | None = None) -> np.ndarray:
+    """Edges (i < j) of the Delaunay triangulation by incremental insertion; fewer than three or collinear points give the complete graph."""
+    n = len(x)
+    every = np.array([(i, j) for i in range(n) for j in range(i + 1, n)], int).reshape(-1, 2) if n < 4 else None
+    if n < 3:
+        return every
+    tri, _ = delaunay_triangles(x, y, frame)
     tri = tri[(tri < n).all(1)]
     if not len(tri):
         order = np.lexsort((y, x))

@@ -118,6 +118,24 @@ def test_delaunay_has_empty_circles():
     assert e == want
 
 
+@pytest.mark.parametrize("tile_cells,last_cells", [(2000, 10_000), (40, 30)])
+def test_tiled_delaunay_graph_is_that_of_one_triangulation(spark, monkeypatch, tile_cells, last_cells):
+    monkeypatch.setattr(predict, "TILE_CELLS", tile_cells)
+    monkeypatch.setattr(predict, "LAST_CELLS", last_cells)
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.exponential(60, (300, 2)), rng.uniform(0, 900, (60, 2)), rng.normal(300, 5, (150, 2))])
+    kind = np.where(np.arange(len(xy)) % 3 == 0, "a", "b")
+    rows = [(i, float(x), float(y), str(t)) for i, ((x, y), t) in enumerate(zip(xy, kind))] + [(1000, 5.0, 5.0, None), (1001, 7.0, 5.0, None), (1002, 1.0, 1.0, "c")]
+    cells = spark.createDataFrame(rows, "cell_id long, x double, y double, cell_type string")
+    got = {(r["src"], r["dst"]) for r in predict.delaunay_graph(cells, 120.0, 60.0).collect()}
+    want = {(1000, 1001), (1001, 1000)} | {(i, i) for i, *_ in rows}
+    for t in "ab":
+        ids = np.flatnonzero(kind == t)
+        for i, j in ids[kernels.delaunay_edges(xy[ids, 0] + (ids * 2654435761 % 1000) * 1e-9, xy[ids, 1] + (ids * 40503 % 1000) * 1e-9)].tolist():
+            want |= {(i, j), (j, i)}
+    assert got == want
+
+
 def test_deconvolution_kernels_recover_a_mixture():
     rng = np.random.default_rng(0)
     s = rng.gamma(1.0, 1.0, (60, 3))
