@@ -52,6 +52,12 @@ def endecon_ensemble(spark, d):
     return rounded(ensemble.endecon(R.method_proportions(spark, d), METHODS, iterations=3, tol=0.0)[0], "value")
 
 
+@query()
+def endecon_consensus(spark, d):
+    """The converged consensus; ends by its objective, so without SQL (``endecon_ensemble`` holds three rounds of it against SQL)."""
+    return rounded(ensemble.endecon(R.method_proportions(spark, d), METHODS)[0], "value")
+
+
 # --- annotation ------------------------------------------------------------------
 
 #: Each cell's spot (the nearest within the radius).
@@ -192,16 +198,26 @@ FROM c CROSS JOIN (SELECT DISTINCT event_type AS gene FROM events) t LEFT JOIN (
 STEP = "v{k} AS (SELECT v.cell_id, v.gene, labeled, CASE WHEN labeled THEN v.value / 1.1 + (1 - 1 / 1.1) * m.mean ELSE m.mean END AS value FROM v{p} v JOIN (SELECT src AS cell_id, gene, sum(w * value) AS mean FROM g JOIN v{p} ON dst = cell_id GROUP BY 1, 2) m USING (cell_id, gene))"
 
 
-@query(GRAPH + ", " + START + ", " + STEP.format(k=1, p=0) + ", " + STEP.format(k=2, p=1) + " SELECT cell_id, gene, labeled, round(value, 6) AS value FROM v2")
-def label_diffusion(spark, d):
+def diffusion_start(spark, d):
     cells, spot = R.cells(spark, d), in_spot(spark, d).select("cell_id", "spot_id")
     counts = in_spot(spark, d).groupBy("spot_id", F.col("cell_type").alias("gene")).agg(F.count("*").cast("double").alias("k"))
     rows = cells.select("cell_id", F.explode(F.array(*[F.lit(t) for t in R.TYPES])).alias("gene")).join(spot, "cell_id", "left").join(counts, ["spot_id", "gene"], "left")
     start = rows.select("cell_id", "gene", F.col("spot_id").isNotNull().alias("labeled"), F.coalesce("k", F.lit(0.0)).alias("value"))
-    graph = predict.radius_graph(cells, 6.0)
+    return start, predict.radius_graph(cells, 6.0)
+
+
+@query(GRAPH + ", " + START + ", " + STEP.format(k=1, p=0) + ", " + STEP.format(k=2, p=1) + " SELECT cell_id, gene, labeled, round(value, 6) AS value FROM v2")
+def label_diffusion(spark, d):
+    start, graph = diffusion_start(spark, d)
     return rounded(predict.diffusion_step(predict.diffusion_step(start, graph), graph), "value")
 
 
+@query()
+def label_diffusion_full(spark, d):
+    """Diffusion to its end; ends by its change, so without SQL (``label_diffusion`` holds two steps of it against SQL)."""
+    return rounded(predict.diffuse(*diffusion_start(spark, d)), "value")
+
+
 @query()
 def delaunay_graph(spark, d):
     """The weighted Delaunay graph of each type's cells, in tiles with a halo; a triangulation, so without SQL."""

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from spotweave.functions import kernels
 from spotweave.operators import annotate, detect, ensemble, matrix, predict, spatial, stats
+from spotweave.plans import more_queries, queries, roles
 from spotweave.sources import io
 
+SF = "/root/testdata/sf0.001"
+
 
 def points(spark, rows, id_col):
     return spark.createDataFrame(rows, f"{id_col} long, x double, y double")
@@ -75,6 +78,54 @@ def test_endecon_of_equal_inputs_is_the_input(spark):
     assert weights == {"a": 0.5, "b": 0.5}
 
 
+def test_endecon_query_ends_where_the_loop_does(spark):
+    m = roles.method_proportions(spark, SF).toPandas()
+    v = m.pivot_table(index=["spot_id", "cell_type"], columns="method", values="value", fill_value=0.0)[more_queries.METHODS].to_numpy()
+    keys = list(m.pivot_table(index=["spot_id", "cell_type"], columns="method", values="value").index)
+    h, before, scale, rounds = v.mean(1), 0.0, None, 0
+    for rounds in range(1, 101):
+        l1 = np.abs(v - h[:, None]).sum(0)
+        scale = np.quantile(l1, 0.5) if scale is None else scale
+        w = np.exp(-(l1 - l1.min()) / scale)
+        w /= w.sum()
+        order = np.argsort(v, 1, kind="stable")
+        h = np.array([r[o][np.searchsorted(np.cumsum(w[o]), 0.5)] for r, o in zip(v, order)])
+        loss = (l1 * w).sum() + scale * (w * np.log(w + 1e-12)).sum()
+        if abs(loss - before) < 1e-5:
+            break
+        before = loss
+    total = {}
+    for (s, _), x in zip(keys, h):
+        total[s] = total.get(s, 0.0) + x
+    want = {k: x / total[k[0]] for k, x in zip(keys, h)}
+    got = {(r["spot_id"], r["cell_type"]): r["value"] for r in queries.QUERIES["endecon_consensus"](spark, SF).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 2e-6
+    assert "endecon_consensus" not in queries.SQL and rounds < 100
+
+
+@pytest.mark.parametrize("n,gamma", [(3, 0.1), (12, 0.1), (40, 0.1), (40, 2.0)])
+def test_diffusion_ends_where_the_loop_does(spark, n, gamma):
+    # A chain whose first cell is labelled.
+    w = np.zeros((n, n))
+    for i in range(n):
+        w[i, max(i - 1, 0) : i + 2] = 1.0
+    w /= w.sum(1, keepdims=True)
+    v, labeled, best, wait = np.where(np.arange(n) == 0, 50.0, 0.0), np.arange(n) == 0, np.inf, 0
+    for _ in range(20):
+        keep = 1 / (1 + gamma)
+        new = np.where(labeled, keep * v + (1 - keep) * (w @ v), w @ v)
+        diff = ((new - v)[~labeled] ** 2).mean()
+        best, wait = (diff, 0) if diff < best - 1e-4 else (best, wait + 1)
+        if wait >= 5:
+            break
+        v = new
+    values = spark.createDataFrame([(i, "g", i == 0, 50.0 if i == 0 else 0.0) for i in range(n)], "cell_id long, gene string, labeled boolean, value double")
+    graph = spark.createDataFrame([(i, j, float(w[i, j])) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(w)))], "src long, dst long, w double")
+    got = {r["cell_id"]: r["value"] for r in predict.diffuse(values, graph, gamma).collect()}
+    assert np.allclose([got[i] for i in range(n)], v, atol=1e-9) and got[2] > 0
+    assert "label_diffusion_full" in queries.QUERIES and "label_diffusion_full" not in queries.SQL
+
+
 def test_split_expression(spark):
     props = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5)], "spot_id int, cell_type string, value double")
     means = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 3.0)], "cell_type string, gene int, mean double")
