@@ -55,7 +55,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), within=True)
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

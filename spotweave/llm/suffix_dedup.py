@@ -1,18 +1,20 @@
-"""Repeated passages across documents, found by a sparse suffix array.
+"""Repeated passages across and within documents, found by a sparse suffix array.
 
 A passage is ``length`` words (A-Z as a-z, whatever the white space).  Suffixes
 are retained only where the k-word gram that starts them is the least of ``w``
 neighbouring grams (k + w - 1 = length), so any two occurrences of a passage
 retain a suffix that starts with the same gram.  Suffixes are ordered by that
-gram; those whose neighbours come from another text recur, the others drop out.
+gram (a hash grouping stands for the sort); those with a neighbour from another
+text, or from another place of their own, recur, the others drop out.
 Around a recurring suffix the match is extended left and right by as much as a
 passage can reach, and every passage there is compared by hash; adjacent ones
 merge into spans.
 
 A span of a document is a repeat if each passage in it also occurs in a document
-of smaller id.  Documents with equal word sequences are compared as one.  The
-first occurrence of a passage is never in a span, nor are repeats inside one
-document.
+of smaller id or, with ``within``, earlier in its own document.  Documents with
+equal word sequences are compared as one.  The first occurrence of a passage, by
+id and start, is never in a span; where a passage overlaps its first occurrence,
+only the words after that one are.
 
 Null and empty texts and texts of fewer than ``length`` words have no spans.
 Rows of one id are one document, their smallest text counting.  Other columns pass through
@@ -69,12 +71,12 @@ def _documents(column, length: int):
 
 
 def _profiles(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """id, n_words, sequence, and for the first of a sequence in its partition the distinct grams of its retained suffixes."""
+    """id, n_words, sequence, and for the first of a sequence in its partition the distinct grams of its retained suffixes, and those at two places or more."""
 
     def run(batches):
         seen = set()
         for batch in batches:
-            ids, count, sequence, grams = [], [], [], []
+            ids, count, sequence, grams, twice = [], [], [], [], []
             for i, h in enumerate(_documents(batch.column(1), length)):
                 if h is None:
                     continue
@@ -82,14 +84,16 @@ def _profiles(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 ids.append(i)
                 count.append(len(h))
                 sequence.append(key)
-                grams.append(None if key in seen else np.unique(suffix_starts(h, length, gram)[1]).view(np.int64))
+                g, n = np.unique(suffix_starts(h, length, gram)[1], return_counts=True) if key not in seen else (None, None)
+                grams.append(None if g is None else g.view(np.int64))
+                twice.append(None if g is None else g[n > 1].view(np.int64))
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(count, pa.int64()), pa.array(sequence, pa.int64()), pa.array(grams, pa.list_(pa.int64()))],
-                names=["id", "n_words", "sequence", "grams"],
+                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(count, pa.int64()), pa.array(sequence, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))],
+                names=["id", "n_words", "sequence", "grams", "twice"],
             )
 
-    return settle(docs.mapInArrow(run, "id bigint, n_words bigint, sequence bigint, grams array<bigint>"), "suffixes")
+    return settle(docs.mapInArrow(run, "id bigint, n_words bigint, sequence bigint, grams array<bigint>, twice array<bigint>"), "suffixes")
 
 
 def _passages(docs: DataFrame, recurring: DataFrame, length: int, gram: int) -> DataFrame:
@@ -119,27 +123,38 @@ def _passages(docs: DataFrame, recurring: DataFrame, length: int, gram: int) ->
     return settle(texts.join(recurring, "id").select("id", "text", "grams").mapInArrow(run, "passage bigint, id bigint, start int"), "passages")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per repeated span: id, start_word (from 0), n_words, source (a document of smaller id that holds the span's first passage)."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
+    """Per repeated span: id, start_word (from 0), n_words, source (a document of smaller id, or ``within`` the same, that holds the span's first passage)."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     profiles = _profiles(docs, length, gram)
     first = profiles.groupBy("sequence").agg(F.min("id").alias("first"))
-    suffixes = profiles.where("grams is not null").select(F.explode("grams").alias("gram"), "sequence")
-    # In the order of the grams, a suffix recurs if another text stands next to it.
-    shared = suffixes.groupBy("gram").agg(F.min("sequence").alias("a"), F.max("sequence").alias("b")).where("a <> b").select("gram")
+    suffixes = profiles.where("grams is not null").select(F.explode("grams").alias("gram"), "sequence", "twice")
+    own = F.array_contains("twice", F.col("gram")) if within else F.lit(False)
+    suffixes = suffixes.select("gram", "sequence", own.alias("own"))
+    # In the order of the grams, a suffix recurs if another text, or another place of its own, stands next to it.
+    shared = suffixes.groupBy("gram").agg(F.min("sequence").alias("a"), F.max("sequence").alias("b"), F.max("own").alias("own")).where("a <> b or own").select("gram")
     recurring = suffixes.join(shared, "gram").groupBy("sequence").agg(F.collect_set("gram").alias("grams"))
     recurring = settle(recurring.join(first, "sequence").select(F.col("first").alias("id"), "grams").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")), "recurring")
     passages = _passages(docs, recurring, length, gram)
-    earliest = passages.groupBy("passage").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source <> last").select("passage", "source")
-    hits = passages.join(earliest, "passage").where("source < id").select("id", "start", "source")
+    if within:
+        place = F.struct("id", "start")
+        earliest = passages.groupBy("passage").agg(F.min(place).alias("at"), F.max(place).alias("last")).where("at <> last").select("passage", F.col("at.id").alias("source"), F.col("at.start").alias("source_start"))
+        hits = passages.join(earliest, "passage").where("source < id or source = id and source_start < start")
+        hits = hits.withColumn("begin", F.when(F.col("source") == F.col("id"), F.greatest("start", F.col("source_start") + length)).otherwise(F.col("start")))
+    else:
+        earliest = passages.groupBy("passage").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source <> last").select("passage", "source")
+        hits = passages.join(earliest, "passage").where("source < id").withColumn("begin", F.col("start"))
+    hits = hits.select("id", "start", "source", "begin")
 
     def merge(batches):
         for group in sorted_groups(batches):
-            start = group.column("start").to_numpy()
-            source = group.column("source").to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], start[1:] > start[:-1] + length]))
-            end = start[np.append(cut[1:], len(start)) - 1] + length
+            start = group.column("begin").to_numpy()
+            order = np.argsort(start, kind="stable")
+            start, source = start[order], group.column("source").to_numpy()[order]
+            reach = np.maximum.accumulate(group.column("start").to_numpy()[order] + length)
+            cut = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+            end = reach[np.append(cut[1:], len(start)) - 1]
             yield pa.RecordBatch.from_arrays(
                 [group.column("id").slice(0, len(cut)).combine_chunks() if group.column("id").num_chunks == 1 else pa.array(np.full(len(cut), group.column("id")[0].as_py())), pa.array(start[cut].astype(np.int64)), pa.array((end - start[cut]).astype(np.int64)), pa.array(source[cut])],
                 names=["id", "start_word", "n_words", "source"],
@@ -153,8 +168,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated spans cut from their texts (each cut closes up to the next word); rows that lose all their words go."""
-    spans = repeated_spans(docs, length, gram, id_col, text_col)
+    """``docs`` with repeated spans, across and within documents, cut from their texts (each cut closes up to the next word); rows that lose all their words go."""
+    spans = repeated_spans(docs, length, gram, id_col, text_col, within=True)
     cuts = settle(spans.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__cuts")), "cuts")
     size = cuts.agg(F.sum(F.size("__cuts"))).first()[0] or 0
     out = docs.join(F.broadcast(cuts) if size <= BROADCAST_CUTS else cuts, id_col, "left")

@@ -64,3 +64,35 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.repeated_spans(df).collect() == []
     assert suffix_dedup.without_repeats(df).collect() == []
+
+
+def brute_within(rows, length):
+    """Per text the places of words that a repeat, in order of id and start, adds after its first occurrence."""
+    first, cut = {}, {}
+    for i, t in sorted(rows):
+        w = (t or "").lower().split()
+        for k in range(len(w) - length + 1):
+            j, s = first.setdefault(tuple(w[k : k + length]), (i, k))
+            if (j, s) != (i, k):
+                cut.setdefault(i, set()).update(range(max(k, s + length) if i == j else k, k + length))
+    return cut
+
+
+@pytest.mark.parametrize("seed,length,gram", [(1, 50, 25), (3, 12, 6)])
+def test_repeats_within_a_document_match_brute_force(spark, seed, length, gram):
+    r = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [x for x in corpus(seed) if x[0] not in (2000, 2001)] + [(3000, " ".join(sum(([*passage, f"s{i}"] for i in range(40)), []))), (3001, " ".join(r.choices("xy", k=300)))]
+    rows = [(i, t) for n, (i, t) in enumerate(rows) if not t or t not in [u for _, u in rows[:n]]]
+    got = {}
+    for i, start, n, source in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length, gram, within=True).collect():
+        got.setdefault(i, set()).update(range(start, start + n))
+        assert source <= i
+    assert got == brute_within(rows, length) and 3000 in got
+
+
+def test_cut_texts_keep_one_copy_of_a_passage_within_a_document(spark):
+    p = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, " ".join([p] * 1000)), (2, f"{p} z {p}"), (3, "a b " * 200)]
+    got = dict(suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[1].split() == p.split() and got[2].split() == ["z"] and got[3].split() == ["a", "b"] * 25
