@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SLICE_BYTES = 2_000_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, U64)
+#: Odd, so each has an inverse modulo 2^64.
+_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -44,32 +45,43 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of the rolling base, kept for the worker's life."""
-    global _powers
-    if len(_powers) <= n:
-        _powers = np.concatenate([np.ones(1, U64), np.cumprod(np.full(max(n, SLICE_BYTES), _BASE, U64), dtype=U64)])
-    return _powers
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers at least; the table is kept for the worker's life, and its length enters no result."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, SLICE_BYTES), base, U64)
+        held[0] = 1
+        held = _powers[base] = np.cumprod(held, dtype=U64)
+    return held
+
+
+class _Spans:
+    """Hashes of spans of ``values``: the sum of a span's values times the base's powers, moved back to the span's start by the inverse's."""
+
+    def __init__(self, values: np.ndarray, starts: np.ndarray, base: int = _BASE):
+        n = len(values)
+        self.total = np.zeros(n + 1, U64)
+        np.cumsum(values * powers(base, n + 1)[:n], out=self.total[1:])
+        self.starts, self.back = starts, powers(pow(base, -1, 1 << 64), n + 1)[starts]
+
+    def to(self, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.total[ends] - self.total[self.starts]) * self.back + (ends - self.starts).astype(U64))
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``values``, whatever its place."""
-    n = len(values)
-    pw = powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values * pw[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * pw[n - starts] * pw[len(pw) - 1 - n] + (ends - starts).astype(U64))
+    """A 64-bit hash of each span of ``values``, whatever its place and whatever the worker hashed before."""
+    return _Spans(values, starts).to(ends)
+
+
+def second_span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 more bits that don't follow from ``span_hashes``."""
+    return _Spans(mix64(values), starts, _BASE2).to(ends)
 
 
 def prefix_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     """``span_hashes`` of each span, then of its first ``length`` values for each length (all of a shorter one)."""
-    n = len(values)
-    pw = powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values * pw[:n], out=total[1:])
-    scale = pw[n - starts] * pw[len(pw) - 1 - n]
-    cuts = [ends, *(np.minimum(ends, starts + k) for k in lengths)]
-    return [mix64((total[e] - total[starts]) * scale + (e - starts).astype(U64)) for e in cuts]
+    spans = _Spans(values, starts)
+    return [spans.to(e) for e in (ends, *(np.minimum(ends, starts + k) for k in lengths))]
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
