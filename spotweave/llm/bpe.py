@@ -1,20 +1,25 @@
 """Byte-pair encoding and decoding by batched numpy merge rounds.
 
-A text becomes code points; runs of one character class are its words.  Each
-distinct word is encoded once: the symbols of many words lie in one flat array,
-every round finds each word's lowest-ranked pair by binary search over the
-sorted pair keys and merges it everywhere in the word, until no word has a pair
-left.  Ids of a text are the ids of its words, gathered.
-
-Nulls and empty texts give no ids.  Texts with characters beyond Latin, with
-apostrophes or with special-token strings take the tokenizer library's own
-path, which gives the same ids at less speed.
+A text is composed (NFC) and lower-cased, and becomes code points; runs of one
+character class, single digits and contractions ('s, 't, 're ...) are its words.
+Each distinct word is encoded once: the symbols of many words lie in one flat
+array, every round finds each word's lowest-ranked pair by binary search over
+the sorted pair keys and merges it everywhere in the word, until no word has a
+pair left.  Ids of a text are the ids of its words, gathered.
+
+Special-token strings are cut out of the text first and keep their own ids.
+Nulls and empty texts give no ids.  Only texts with a code point that this
+Python's Unicode data doesn't know, whose class and lower case are therefore
+unknown, take the tokenizer library's own path.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,29 +28,31 @@ from pyspark.sql import DataFrame
 
 from . import text as T
 
-#: Code points below this have classes that no Unicode version changes.
-LATIN = 0x250
-LETTER, DIGIT, SPACE, OTHER, BREAK = range(5)
+LETTER, DIGIT, SPACE, OTHER, BREAK, UNKNOWN = range(6)
+#: A noncharacter between texts.
+GAP = chr(0x10FFFF)
+#: What follows the apostrophe in a contraction.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
-def _classes() -> np.ndarray:
+@functools.cache
+def classes() -> np.ndarray:
+    """The class of every code point."""
     import regex
 
-    out = np.full(LATIN + 1, OTHER, np.uint8)
-    for c in range(LATIN):
-        ch = chr(c)
-        if regex.match(r"\p{L}", ch):
-            out[c] = LETTER
-        elif regex.match(r"\p{N}", ch):
-            out[c] = DIGIT
-        elif regex.match(r"\s", ch):
-            out[c] = SPACE
-    out[LATIN] = BREAK
+    every = "".join("\0" if 0xD800 <= c < 0xE000 else chr(c) for c in range(0x110000))
+    out = np.full(len(every), OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    out[np.fromiter((unicodedata.category(c) == "Cn" for c in every), bool, len(every))] = UNKNOWN
+    out[ord(GAP)] = BREAK
     return out
 
 
-CLASS = _classes()
-POINTS = T._symbol_table(LATIN + 1, fold=False)
+@functools.cache
+def point_hashes() -> np.ndarray:
+    return T._symbol_table(0x110000, fold=False)
 
 
 def byte_alphabet() -> list[str]:
@@ -56,22 +63,33 @@ def byte_alphabet() -> list[str]:
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' code points, a break (LATIN) after each, and the starts of the texts."""
-    data = np.frombuffer((chr(LATIN).join(texts) + chr(LATIN)).encode("utf-32-le"), np.uint32)
+    """All texts' code points, a gap after each, and the starts of the texts."""
+    data = np.frombuffer((GAP.join(texts) + GAP).encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     return data, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def is_plain(texts: list[str], specials: list[str]) -> list[bool]:
-    """Whether the class runs of each text are its words: Latin, composed, without apostrophe or special token."""
-    import unicodedata
+def normal(text: str) -> str:
+    """Composed and lower-cased, every character by itself (a final sigma is no other)."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return text.lower()
 
-    def plain(t: str) -> bool:
-        if t.isascii():
-            return "'" not in t and not any(s in t for s in specials)
-        return "'" not in t and max(t) < chr(LATIN) and unicodedata.is_normalized("NFC", t) and not any(s in t for s in specials)
 
-    return [plain(t) for t in texts]
+def word_edges(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a word (or a run between words) starts at each code point."""
+    edge = np.ones(len(data), bool)
+    edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    # An apostrophe that starts a run and the letters of a contraction are one word; what letters follow start the next.
+    quote = np.flatnonzero((data == ord("'")) & edge)
+    for tail in CONTRACTIONS:
+        at = quote[quote + len(tail) < len(data)]
+        for k, c in enumerate(tail):
+            at = at[data[at + 1 + k] == ord(c)]
+        edge[at + 1] = False
+        after = at + 1 + len(tail)
+        edge[after[after < len(data)]] = True
+    return edge
 
 
 class MergeTable:
@@ -192,6 +210,7 @@ class WordBpe:
     def __init__(self, path: str):
         self.path, self.table = path, MergeTable(path)
         self.cache = WordCache(self.table.encode)
+        self.special = re.compile("(" + "|".join(map(re.escape, self.table.specials)) + ")") if self.table.specials else None
         self._library = None
 
     @property
@@ -204,20 +223,17 @@ class WordBpe:
             self._library.no_padding()
         return self._library
 
-    def _plain(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
-        texts = [t.lower() for t in texts]
+    def _known(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Each normal text's ids and its words' decodings."""
         data, offsets = code_points(texts)
-        kind = CLASS[np.minimum(data, LATIN)]
-        edge = np.ones(len(data), bool)
-        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
-        starts = np.flatnonzero(edge)
+        kind = classes()[data]
+        starts = np.flatnonzero(word_edges(data, kind))
         ends = np.append(starts[1:], len(data))
-        word = kind[starts] <= OTHER
-        word &= kind[starts] != SPACE
+        word = (kind[starts] <= OTHER) & (kind[starts] != SPACE)
         starts, ends = starts[word], ends[word]
-        joined = chr(LATIN).join(texts)
+        joined = GAP.join(texts)
         numbers = self.cache.look_up(
-            T.span_hashes(POINTS[np.minimum(data, LATIN)], starts, ends),
+            T.span_hashes(point_hashes()[data], starts, ends),
             lambda i: joined[starts[i] : ends[i]].encode(),
             lambda found, ids, at: [" ".join(self.table.tokens[j] for j in ids[at[k] : at[k + 1]].tolist()) for k in range(len(found))],
         )
@@ -226,19 +242,24 @@ class WordBpe:
         decoded = self.cache.extra
         for i in range(len(texts)):
             a, z = rows[i], rows[i + 1]
-            yield ids[at[a] : at[z]], " ".join([decoded[k] for k in numbers[a:z].tolist()]).encode()
+            yield ids[at[a] : at[z]], [decoded[k] for k in numbers[a:z].tolist()]
 
     def run(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Each text's ids and the bytes of its decoded text, in order."""
-        # Lower-casing can leave Latin or lose composition only for these.
-        plain = [p and "İ" not in t for p, t in zip(is_plain(texts, self.table.specials), texts)]
-        fast = self._plain([t for t, p in zip(texts, plain) if p])
-        for t, p in zip(texts, plain):
-            if p:
-                yield next(fast)
-            else:
-                ids = self.library.encode(t, add_special_tokens=False).ids
+        parts = [self.special.split(t) if self.special and any(s in t for s in self.table.specials) else [t] for t in texts]
+        known = [t.isascii() or not (classes()[code_points([t])[0]] == UNKNOWN).any() for t in texts]
+        found = self._known([normal(p) for each, k in zip(parts, known) if k for p in each[::2]])
+        for text, each, k in zip(texts, parts, known):
+            if not k:
+                ids = self.library.encode(text, add_special_tokens=False).ids
                 yield np.array(ids, np.uint32), " ".join([self.table.tokens[i] for i in ids]).encode()
+                continue
+            ids, decoded = next(found)
+            for special in each[1::2]:
+                more = next(found)
+                ids = np.concatenate([ids, np.array([self.table.vocab[special]], np.uint32), more[0]])
+                decoded = [*decoded, special, *more[1]]
+            yield ids, " ".join(decoded).encode()
 
 
 def split_texts(texts: list[str], limit: int = T.SLICE_BYTES // 2) -> Iterator[list[str]]:
