@@ -5,8 +5,9 @@ calendar, octets by range, social security numbers by their blocks) and then
 permuted within their format under a key: every character keeps its class
 (digit, lower, upper), dates stay dates of 1900 to 2099, card numbers get the
 check digit of their new digits.  The permutation is one to one on a format and
-the same everywhere, so equal values stay linked across documents, and the
-holder of the key can invert it.
+the same everywhere, so equal values stay linked across documents, whatever
+their separators (a phone's country code stays and has no say), and the holder
+of the key can invert it.
 
 The key is a literal of the plan: take it from a secret store and keep plans
 private.  Null texts stay null; empty texts, texts without such values and all
@@ -43,48 +44,57 @@ DATES = {"date_iso": "yyyy-MM-dd", "date_slash": "MM/dd/yyyy", "date_dot": "dd.M
 PATTERN = "|".join(form.replace(r"\1", rf"\{1}") for _, form in FORMS)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def feistel(values: Column, radix: Column, key: Column, tag: Column | str, backwards: bool = False) -> Column:
-    """A keyed permutation of the arrays of integers below ``radix``: each half in turn is shifted, digit by digit, by a hash of the other."""
-    n = F.size(values)
-    u = F.floor(n / 2).cast("int")
+    """A keyed permutation of the arrays of integers below ``radix``: each half in turn is shifted, place by place, by a hash of the other."""
+    u = lambda a: F.floor(F.size(a) / 2).cast("int")
+    left, right = (lambda a: F.slice(a, F.lit(1), u(a))), (lambda a: F.slice(a, u(a) + 1, F.size(a) - u(a)))
     tag = F.lit(tag) if isinstance(tag, str) else tag
-    left, right = (lambda a: F.slice(a, F.lit(1), u)), (lambda a: F.slice(a, u + 1, n - u))
 
     def shifted(side: Column, other: Column, radices: Column, i: Column) -> Column:
-        def one(x: Column, j: Column) -> Column:
-            word = F.sha2(F.concat_ws("|", key, tag, i.cast("string"), j.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+        # One hash of the other half a round; every eight places take another one of that.
+        seed = F.sha2(F.concat_ws("|", key, tag, i.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+        last = F.floor((F.greatest(F.size(side), F.lit(1)) - 1) / 8).cast("int")
+        words = _let(seed, lambda s: F.transform(F.sequence(F.lit(0), last), lambda b: F.when(b == 0, s).otherwise(F.sha2(F.concat(s, b.cast("string")), 256))))
+
+        def one(x: Column, j: Column, w: Column) -> Column:
             r = F.element_at(radices, j + 1)
-            by = F.conv(F.substring(word, 1, 8), 16, 10).cast("bigint") % r
+            by = F.conv(F.substr(F.element_at(w, F.floor(j / 8).cast("int") + 1), j % 8 * 8 + 1, F.lit(8)), 16, 10).cast("bigint") % r
             return F.pmod(x - by if backwards else x + by, r)
 
-        return F.transform(side, one)
+        return _let(words, lambda w: F.transform(side, lambda x, j: one(x, j, w)))
 
-    def step(held: Column, i: Column) -> Column:
-        even = F.struct(shifted(held["l"], held["r"], left(radix), i).alias("l"), held["r"].alias("r"))
-        odd = F.struct(held["l"].alias("l"), shifted(held["r"], held["l"], right(radix), i).alias("r"))
+    def step(held: Column, i: Column, r: Column) -> Column:
+        even = F.struct(shifted(held["l"], held["r"], r["l"], i).alias("l"), held["r"].alias("r"))
+        odd = F.struct(held["l"].alias("l"), shifted(held["r"], held["l"], r["r"], i).alias("r"))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
-    order = range(ROUNDS - 1, -1, -1) if backwards else range(ROUNDS)
-    start = F.struct(left(values).alias("l"), right(values).alias("r"))
-    return F.aggregate(F.array(*[F.lit(i) for i in order]), start, step, lambda held: F.concat(held["l"], held["r"]))
+    order = F.array(*[F.lit(i) for i in (range(ROUNDS - 1, -1, -1) if backwards else range(ROUNDS))])
+    cut = lambda a: _let(a, lambda a: F.struct(left(a).alias("l"), right(a).alias("r")))
+    return _let(cut(radix), lambda r: F.aggregate(order, cut(values), lambda held, i: step(held, i, r), lambda held: F.concat(held["l"], held["r"])))
 
 
 def _longs(a: Column) -> Column:
     return a.cast("array<bigint>")
 
 
-def permute_text(s: Column, key: Column, tag: str, letters: int = 26, backwards: bool = False) -> Column:
-    """``s`` with its digits and the first ``letters`` ASCII letters permuted, each within its class."""
-    chars = F.split(s, "")
-    chars = F.filter(chars, lambda c: c != "")
-    code = F.transform(chars, lambda c: F.ascii(c))
-    inside = lambda c, first, count: (c >= ord(first)) & (c < ord(first) + count)
-    base = F.transform(code, lambda c: F.when(inside(c, "0", 10), F.lit(48)).when(inside(c, "a", letters), F.lit(97)).when(inside(c, "A", letters), F.lit(65)).otherwise(F.lit(-1)))
-    radix = F.transform(base, lambda b: F.when(b == 48, F.lit(10)).when(b > 0, F.lit(letters)).otherwise(F.lit(1)))
-    values = F.zip_with(code, base, lambda c, b: F.when(b > 0, c - b).otherwise(F.lit(0)))
-    new = feistel(_longs(values), _longs(radix), key, tag, backwards)
-    new = F.zip_with(new, base, lambda v, b: F.when(b > 0, F.chr(v + b)))
-    return F.array_join(F.zip_with(chars, new, lambda c, v: F.coalesce(v, c)), "")
+def permute_text(s: Column, key: Column, tag: str, kinds: str = "0-9a-zA-Z", backwards: bool = False) -> Column:
+    """``s`` with its characters of ``kinds`` permuted, each within its class; the others stay in place and have no say, so spellings of one value stay linked."""
+    letters = 6 if "a-f" in kinds else 26
+    code = F.transform(F.regexp_extract_all(s, F.lit(f"[{kinds}]"), F.lit(0)), lambda c: F.ascii(c))
+
+    def laid(code: Column, base: Column) -> Column:
+        radix = F.transform(base, lambda b: F.when(b == 48, F.lit(10)).otherwise(F.lit(letters)))
+        new = feistel(_longs(F.zip_with(code, base, lambda c, b: c - b)), _longs(radix), key, tag, backwards)
+        new = F.zip_with(new, base, lambda v, b: F.chr(v + b))
+        return F.array_join(F.zip_with(F.split(s, f"[{kinds}]", -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    base = lambda code: F.transform(code, lambda c: F.when(c < 58, F.lit(48)).when(c < 91, F.lit(65)).otherwise(F.lit(97)))
+    return _let(code, lambda code: _let(base(code), lambda base: laid(code, base)))
 
 
 def check_digit(digits: Column) -> Column:
@@ -96,8 +106,8 @@ def check_digit(digits: Column) -> Column:
 
 def _card(m: Column, key: Column, backwards: bool) -> Column:
     head = F.substr(m, F.lit(1), F.length(m) - 1)
-    new = permute_text(head, key, "card", backwards=backwards)
-    return F.when(check_digit(head) == F.substring(m, -1, 1), F.concat(new, check_digit(new)))
+    valid = check_digit(head) == F.substring(m, -1, 1)
+    return F.when(valid, _let(permute_text(head, key, "card", "0-9", backwards), lambda new: F.concat(new, check_digit(new))))
 
 
 def _date(m: Column, form: str, key: Column, backwards: bool) -> Column:
@@ -106,16 +116,15 @@ def _date(m: Column, form: str, key: Column, backwards: bool) -> Column:
     a, b = DAY_RADIX
     values = F.array((day / b).cast("bigint"), (day % b).cast("bigint"))
     new = feistel(values, _longs(F.array(F.lit(a), F.lit(b))), key, "date", backwards)
-    return F.when(day.isNotNull(), F.date_format(F.date_add(origin, (new[0] * b + new[1]).cast("int")), form))
+    return F.when(day.isNotNull(), _let(new, lambda new: F.date_format(F.date_add(origin, (new[0] * b + new[1]).cast("int")), form)))
 
 
 def _ssn(m: Column, key: Column, backwards: bool) -> Column:
     area, group, serial = (F.substr(m, F.lit(p), F.lit(n)).cast("bigint") for p, n in ((1, 3), (5, 2), (8, 4)))
     values = F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1)
-    new = feistel(values, _longs(F.array(F.lit(898), F.lit(99), F.lit(9999))), key, "ssn", backwards)
-    area = new[0] + F.when(new[0] >= 665, 2).otherwise(1)
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.concat_ws("-", pad(area, 3), pad(new[1] + 1, 2), pad(new[2] + 1, 4))
+    new = feistel(values, _longs(F.array(F.lit(898), F.lit(99), F.lit(9999))), key, "ssn", backwards)
+    return _let(new, lambda new: F.concat_ws("-", pad(new[0] + F.when(new[0] >= 665, 2).otherwise(1), 3), pad(new[1] + 1, 2), pad(new[2] + 1, 4)))
 
 
 def pseudonym(m: Column, key: Column, backwards: bool = False) -> Column:
@@ -132,11 +141,11 @@ def pseudonym(m: Column, key: Column, backwards: bool = False) -> Column:
         "email": F.concat(permute_text(local, key, "email", backwards=backwards), F.substr(m, at, F.length(m))),
         "ipv4": F.array_join(feistel(octets, _longs(F.array_repeat(F.lit(256), 4)), key, "ipv4", backwards).cast("array<string>"), "."),
         **{kind: _date(m, form, key, backwards) for kind, form in DATES.items()},
-        "phone": F.concat(F.substr(m, F.lit(1), country), permute_text(F.substr(m, country + 1, F.length(m)), key, "phone", backwards=backwards)),
+        "phone": F.concat(F.substr(m, F.lit(1), country), permute_text(F.substr(m, country + 1, F.length(m)), key, "phone", "0-9", backwards)),
         "ssn": _ssn(m, key, backwards),
         "card_groups": _card(m, key, backwards),
         "card": _card(m, key, backwards),
-        "hex_token": permute_text(m, key, "hex", letters=6, backwards=backwards),
+        "hex_token": permute_text(m, key, "hex", "0-9a-f", backwards),
     }
     out = None
     for kind, _ in FORMS:
@@ -147,17 +156,15 @@ def pseudonym(m: Column, key: Column, backwards: bool = False) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, backwards: bool = False) -> DataFrame:
     """``docs`` with every personal value in the text replaced by its pseudonym (``backwards``: by the value it stands for).
 
-    ``count_col`` adds the number of replaced values.  Rows and other columns stay.
+    ``count_col`` adds the number of replaced values (in place of a column of that name).  Rows and other columns stay.
     """
     text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.transform(found, lambda m: pseudonym(m, F.lit(key), backwards))
-    between = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    hint = text.rlike(HINT)
-    changed = docs.withColumn(text_col, F.when(hint, joined).otherwise(text))
+    held = next(name for n in range(len(docs.columns) + 1) if (name := f"__found{n}") not in docs.columns)
+    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(m, F.lit(key), backwards).alias("new")))
+    # Text and count both read the found values, which the optimizer therefore leaves in a projection of their own.
+    rows = docs.withColumn(held, F.when(text.rlike(HINT), found))
+    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.col(held), lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), "")
+    new = {text_col: F.when(F.size(held) > 0, joined).otherwise(text)}
     if count_col:
-        replaced = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
-        changed = docs.select(*[c for c in docs.columns if c != count_col], F.when(hint, replaced).otherwise(0).alias(count_col), F.when(hint, joined).otherwise(text).alias("__new"))
-        return changed.withColumn(text_col, F.col("__new")).drop("__new")
-    return changed
+        new[count_col] = F.coalesce(F.array_size(F.filter(held, lambda p: p["old"] != p["new"])), F.lit(0))
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in [*docs.columns, *([count_col] if count_col and count_col not in docs.columns else [])]])
