@@ -35,10 +35,30 @@ def binaries(column: pa.ChunkedArray) -> list[bytes]:
     return column.to_pylist()
 
 
-def by_group(df: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over partitions in which the rows of a group (first column) are neighbours."""
+def by_group(df: DataFrame, run, schema: str, parts: int = 0) -> DataFrame:
+    """``run`` over partitions (``parts`` of them, or more) in which the rows of a group (first column) are neighbours."""
     key = df.columns[0]
-    return df.repartition(parallelism(df.sparkSession), key).sortWithinPartitions(*df.columns[:2]).mapInArrow(run, schema)
+    return df.repartition(max(parts, parallelism(df.sparkSession)), key).sortWithinPartitions(*df.columns[:2]).mapInArrow(run, schema)
+
+
+def in_order(df: DataFrame, run, schema: str, count: int, rows: int = 2_000_000) -> DataFrame:
+    """``run`` over range partitions of about ``rows`` of ``count`` rows, ordered by all columns: even equal keys spread, by the columns after them."""
+    parts = max(parallelism(df.sparkSession), -(-count // rows))
+    return df.repartitionByRange(parts, *df.columns).sortWithinPartitions(*df.columns).mapInArrow(run, schema)
+
+
+#: A class of more than one in so many rows is joined by broadcast; there are fewer such classes than this.
+HOT_SHARE = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``classes``, a written table of one row per key; ``size`` is its number of ``rows``, ``total`` that of all.
+
+    The few hot classes are broadcast, so their rows stay where they are; the others meet by shuffle.
+    """
+    hot = F.broadcast(classes.where(F.col(size) * HOT_SHARE > total).drop(size))
+    cold = classes.where(F.col(size) * HOT_SHARE <= total).drop(size)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def block_pairs(df: DataFrame, group: str, member: str, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +33,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_rows(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``mapInArrow`` with columns told by their places, so that any names will do."""
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, StructType(fields)).toDF(*schema.names)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

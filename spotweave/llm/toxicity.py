@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
-from .store import settle
+from .store import map_rows, settle
 
 #: Labelled documents learnt from at most, the least by a hash of their id (12 bytes each are broadcast).
 TRAIN_ROWS = 200_000
@@ -271,4 +271,4 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             evidence = [m.evidence(segments, max(n, 1)) for segments, n in _segments(batch.column(at), m)]
             yield batch.filter(pa.array(m.probability(np.array(evidence)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

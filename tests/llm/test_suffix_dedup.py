@@ -96,3 +96,31 @@ def test_cut_texts_keep_one_copy_of_a_passage_within_a_document(spark):
     rows = [(1, " ".join([p] * 1000)), (2, f"{p} z {p}"), (3, "a b " * 200)]
     got = dict(suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got[1].split() == p.split() and got[2].split() == ["z"] and got[3].split() == ["a", "b"] * 25
+
+
+def test_ids_with_several_texts_null_texts_and_any_type(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, p), (3, None), (3, f"a {p}"), (3, "a short other text"), (4, p), (4, p), (None, p), (None, None)]
+    for kind, make in (("long", lambda i: i), ("string", lambda i: None if i is None else f"k{i}")):
+        df = spark.createDataFrame([(make(i), t, 0, "x", "y") for i, t in rows], f"doc_id {kind}, text string, __cuts0 int, id string, `th.x` string").repartition(3)
+        spans = sorted(map(tuple, suffix_dedup.repeated_spans(df).collect()))
+        assert spans == [(make(3), 1, 60, make(1)), (make(4), 0, 60, make(1))]
+        out = suffix_dedup.without_repeats(df)
+        got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        assert got == sorted([(make(1), p), (make(3), None), (make(3), "a "), (make(3), "a short other text"), (None, p), (None, None)], key=lambda x: str((x[0], x[1])))
+        assert out.columns == df.columns
+
+
+@pytest.mark.parametrize("rows_per_part", [7, 1])
+def test_runs_that_reach_over_range_ends(spark, monkeypatch, rows_per_part):
+    """Hot passages over many small ranges, so runs go on through whole partitions."""
+    real = suffix_dedup.in_order
+    monkeypatch.setattr(suffix_dedup, "in_order", lambda df, run, schema, count: real(df, run, schema, count, max(rows_per_part, count // 60)))
+    p = " ".join(f"w{i}" for i in range(14))
+    rows = [(i, f"a{i} {p} b{i} " + (p if i % 3 == 0 else "")) for i in range(40)]
+    for within in (False, True):
+        got = {}
+        for i, start, n, source in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 12, 6, within=within).collect():
+            got.setdefault(i, set()).update(range(start, start + n))
+        want = {i: {k for _, a, n in [x for x in brute(rows, 12) if x[0] == i] for k in range(a, a + n)} for i in {x[0] for x in brute(rows, 12)}} if not within else brute_within(rows, 12)
+        assert got == want
