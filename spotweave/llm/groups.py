@@ -51,14 +51,16 @@ def in_order(df: DataFrame, run, schema: str, count: int, rows: int = 2_000_000)
 HOT_SHARE = 1000
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``classes``, a written table of one row per key; ``size`` is its number of ``rows``, ``total`` that of all.
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``classes``, a written table of one row per key; ``size`` is its number of ``rows``, ``total`` that of all.
 
-    The few hot classes are broadcast, so their rows stay where they are; the others meet by shuffle.
+    The few hot classes are broadcast, so their rows stay where they are, as
+    do those with a null key; the others meet by shuffle.
     """
     hot = F.broadcast(classes.where(F.col(size) * HOT_SHARE > total).drop(size))
     cold = classes.where(F.col(size) * HOT_SHARE <= total).drop(size)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    out = rows.join(hot, key).unionByName(rows.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(cold, key, how))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
 
 
 def block_pairs(df: DataFrame, group: str, member: str, limit: int) -> DataFrame:

@@ -22,7 +22,9 @@ leave in different components are compared across blocks.
 
 Null and empty texts, and texts without words, have no shingles, link with
 nothing and are their own component.  Texts with fewer than n words are one
-shingle.  Repeated rows stay; each gets its row.  Other columns are ignored.
+shingle.  Repeated rows stay; each gets its row.  Ids may be of any type that
+has an order; rows of one id with different texts each link by their own text.
+A row without an id links, but gives its class no id.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text as T
 from .components import connected_components
-from .groups import block_pairs, by_group, sorted_groups
+from .groups import block_pairs, by_group, join_classes, sorted_groups
 from .signature_tree import Labels, bitmap, join_group
 from .store import settle
 
@@ -41,7 +43,7 @@ from .store import settle
 SAMPLE_DOCS, FREQUENT_TOKENS, FREQUENT_FROM = 40_000, 1 << 18, 3
 #: Members of a group that one task joins; larger groups are dealt out.
 GROUP, NEIGHBOURHOOD = 16_384, 4_096
-#: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
+#: Text hashes or documents that are broadcast at most (8 or 16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -87,14 +89,14 @@ def _frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """id, n_shingles, key (null: no shingles), and for the first of a class in its partition prefix and bits."""
+    """id, th, n_shingles, key (null: no shingles), and for the first of a class in its partition prefix and bits."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(docs, n))
 
     def run(batches):
         seen = set()
         for batch in batches:
             size, keys, prefixes, bits = [], [], [], []
-            for _, _, data, offsets in T.text_slices(batch.column(1)):
+            for _, _, data, offsets in T.text_slices(batch.column(2)):
                 for s in T.shingle_sets(data, offsets, n):
                     m = len(s)
                     key = set_key(s) if m else None
@@ -108,12 +110,12 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         prefixes.append(frequent_last(s, frequent.value, prefix_size(m, num, den)).view(np.int64))
                         bits.append(bitmap(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["id", "n_shingles", "key", "prefix", "bits"],
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["id", "th", "n_shingles", "key", "prefix", "bits"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return settle(docs.mapInArrow(run, f"id {kind}, n_shingles bigint, key bigint, prefix array<bigint>, bits binary"), "profiles")
+    return settle(docs.mapInArrow(run, f"id {kind}, th bigint, n_shingles bigint, key bigint, prefix array<bigint>, bits binary"), "profiles")
 
 
 def _groups(profiles: DataFrame) -> DataFrame:
@@ -187,12 +189,12 @@ def _confirm(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _with_texts(hoods: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The text of each class of ``hoods`` (through its first document)."""
-    wanted = settle(hoods.select("key").distinct().join(classes, "key").select("key", F.col("first").alias("id")), "wanted")
-    ids = wanted.select("id")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-    return wanted.join(found, "id").select("key", "text")
+    """The text of each class of ``hoods`` (that of its first document, told by id and hash of the text)."""
+    wanted = settle(hoods.select("key").distinct().join(classes, "key").select("key", F.col("first.id").alias("first_id"), F.col("first.th").alias("th")), "wanted")
+    hashes = wanted.select("th")
+    few = hashes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    found = docs.join(F.broadcast(hashes) if few else hashes, "th", "left_semi").dropDuplicates(["id", "th"])
+    return wanted.join(found, (wanted["th"] == found["th"]) & wanted["first_id"].eqNullSafe(found["id"])).select("key", "text")
 
 
 def _links(hoods: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -230,24 +232,34 @@ def _links(hoods: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: i
     return links.union(_confirm(across.join(texts, "key").select("part", "key", "label", "text"), n, num, den))
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_shingles (its set's size) and component_id, the least id that links of Jaccard >= num / den reach (2 num >= den)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """id, th, n_shingles and least: null (whether there's no id), id and th of the first document that links reach, null where that is the row's own."""
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     profiles = _profiles(docs, n, num, den)
-    classes = profiles.where("key is not null").groupBy("key").agg(F.min("id").alias("first"))
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th")).alias("first")
+    classes = settle(profiles.where("key is not null").groupBy("key").agg(first, F.count("*").alias("size")), "classes")
     hoods = _neighbourhoods(_groups(profiles), profiles, num, den)
     roots = connected_components(_links(hoods, classes, docs, n, num, den)).withColumnRenamed("node", "key")
     reach = roots.join(classes, "key").groupBy("root").agg(F.min("first").alias("least"))
     known = roots.join(reach, "root").select("key", "least")
-    members = profiles.select("id", "n_shingles", "key")
-    shared = classes.join(known, "key", "left").select("key", F.coalesce("least", "first").alias("least"))
-    out = members.join(shared, "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    shared = classes.join(known, "key", "left").where("size > 1 or least is not null")
+    shared = settle(shared.select("key", F.coalesce("least", "first").alias("least"), "size"), "shared")
+    members = profiles.select("id", "th", "n_shingles", "key")
+    return join_classes(members, shared, "key", "size", members.count(), "left")
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, n_shingles (its set's size) and component_id, the least id that links of Jaccard >= num / den reach (2 num >= den)."""
+    out = _components(docs, n, num, den, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least.id", "id").alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component; rows of one id stay or go together, rows without an id stay."""
-    found = jaccard_components(docs, n, num, den, id_col, text_col)
-    gone = settle(found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "near-duplicates")
+    """The first document of each component of ``docs``, by id (none last), then by a hash of the text; equal rows (id and text) are one document."""
+    names = [next(name for n in range(len(docs.columns) + 1) if (name := f"__{x}{n}") not in docs.columns) for x in ("id", "th")]
+    found = _components(docs, n, num, den, id_col, text_col)
+    later = F.struct(F.col("id").isNull().alias("null"), "id", "th") > F.col("least")
+    gone = settle(found.where(later).select(F.col("id").alias(names[0]), F.col("th").alias(names[1])).distinct(), "near-duplicates")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1]))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

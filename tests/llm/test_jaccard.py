@@ -72,3 +72,22 @@ def test_empty_table(spark):
 def test_key_ignores_order_of_rows():
     a = np.array([1, 2, 3], np.uint64)
     assert jaccard.set_key(a) == jaccard.set_key(a[::-1]) != jaccard.set_key(a[:2])
+
+
+def test_ids_with_several_texts_null_ids_and_string_ids(spark):
+    w = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "other words stand here under one id"), (1, w), (2, w + " extra"), (3, w), (3, w), (None, w), (None, "lonely words without any id")]
+    for kind, make in (("long", lambda i: i), ("string", lambda i: None if i is None else f"k{i}")):
+        df = spark.createDataFrame([(make(i), t, 1) for i, t in rows], f"doc_id {kind}, text string, __id0 int").repartition(3)
+        got = sorted(((r[0], r[2]) for r in jaccard.jaccard_components(df).collect()), key=str)
+        assert got == sorted([(make(1), make(1))] * 2 + [(make(2), make(1)), (make(3), make(1)), (make(3), make(1)), (None, make(1)), (None, None)], key=str)
+        kept = jaccard.one_per_component(df)
+        assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted([(make(1), rows[0][1]), (make(1), w), (None, rows[6][1])], key=str)
+        assert kept.columns == df.columns
+
+
+def test_hot_classes_are_joined_without_a_shuffle_of_their_rows(spark):
+    rows = [(i, "the same few words again" if i % 3 else f"own words of number {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = jaccard.jaccard_components(df)
+    assert all(r[2] == (1 if r[0] % 3 else r[0]) for r in out.collect())
