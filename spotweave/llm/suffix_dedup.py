@@ -146,10 +146,10 @@ def _passages(docs: DataFrame, kind: str, recurring: DataFrame, length: int, gra
                 np.add.at(near, at + 1, -1)
                 start = np.flatnonzero(np.cumsum(near)[: len(h) - length + 1] > 0)
                 if len(start):
-                    one = batch.slice(part, 1).take(pa.array(np.zeros(len(start), np.int64)))
+                    rows = pa.array(np.full(len(start), part))
                     more = (T.second_span_hashes(h, start, start + length) >> np.uint64(32)).astype(np.uint32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(T.span_hashes(h, start, start + length).view(np.int64)), pa.array(more.view(np.int32)), one.column(0), one.column(1), pa.array(start.astype(np.int32))],
+                        [pa.array(T.span_hashes(h, start, start + length).view(np.int64)), pa.array(more.view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32))],
                         names=["p", "q", "id", "th", "start"],
                     )
 
