@@ -2,11 +2,13 @@
 
 Texts become pieces of at most ``capacity`` tokens; full pieces are sequences of
 their own.  The others are dealt by hash into colonies of bounded size.  Several
-islands evolve each colony, on any executor: a child takes well-filled bins of
-one parent whole, the other parent's bins that hold a duplicate dissolve, and
-the displaced documents go where they fit best, in falling order.  After an
-epoch each island receives its neighbour's elite and evolves on.  Bins that a
+islands evolve each colony, on any executor, from best fits of unsorted orders:
+a child takes well-filled bins of one parent whole, the other parent's bins that
+hold a duplicate dissolve, and the displaced documents go where they fit best,
+in falling order.  An island rests once no fewer bins can hold its items.  After
+an epoch each island receives its neighbour's elite and evolves on.  Bins that a
 colony doesn't fill well meet those of the others in a last round of colonies.
+The elites tell the bins of each island's first population and its crossovers.
 
 Null and empty texts are the separator alone.  Repeated rows are packed each.
 An empty table gives no pieces.  Other columns are ignored.
@@ -65,15 +67,15 @@ class Space:
         return b
 
 
-def insert(bins: np.ndarray, sizes: np.ndarray, items: np.ndarray, capacity: int, noise: np.random.Generator | None = None) -> np.ndarray:
-    """``bins`` with ``items`` (bin -1) placed by best fit in falling order; bins are numbered anew without gaps."""
+def insert(bins: np.ndarray, sizes: np.ndarray, items: np.ndarray, capacity: int, noise: np.random.Generator | None = None, falling: bool = True) -> np.ndarray:
+    """``bins`` with ``items`` (bin -1) placed by best fit in falling order (or as they come); bins are numbered anew without gaps."""
     placed = bins >= 0
     _, number = np.unique(bins[placed], return_inverse=True)
     out = np.full(len(bins), -1, np.int64)
     out[placed] = number
     space = Space((capacity - np.bincount(number, weights=sizes[placed])).astype(int).tolist() if placed.any() else [])
     key = sizes[items] * (1 + 0.15 * noise.random(len(items))) if noise is not None else sizes[items]
-    order = items[np.argsort(-key, kind="stable")]
+    order = items[np.argsort(-key, kind="stable")] if falling else items
     out[order] = [space.best_fit(s, capacity) for s in sizes[order].tolist()]
     return out
 
@@ -89,7 +91,7 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
     fill = np.bincount(b, weights=sizes)
     good = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 2)]
     chosen = np.zeros(len(fill), bool)
-    chosen[rng.choice(good, max(1, len(good) // 8), replace=False)] = True
+    chosen[rng.choice(good, max(1, len(good) // 2), replace=False)] = True
     injected = chosen[b]
     hit = np.zeros(a.max() + 1, bool)
     hit[a[injected]] = True
@@ -99,40 +101,47 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
 
 
 def mutate(a: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """The emptiest bins and a few others dissolve."""
+    """The emptiest bins and as many others dissolve."""
     fill = np.bincount(a, weights=sizes)
     gone = np.zeros(len(fill), bool)
-    gone[np.argsort(fill, kind="stable")[:3]] = True
-    gone[rng.choice(len(fill), max(1, len(fill) // 50), replace=False)] = True
+    gone[np.argsort(fill, kind="stable")[: max(3, len(fill) // 10)]] = True
+    gone[rng.choice(len(fill), max(1, len(fill) // 10), replace=False)] = True
     child = np.where(gone[a], -1, a)
     return insert(child, sizes, np.flatnonzero(child < 0), capacity, rng)
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray] = (), generations: int | None = None) -> np.ndarray:
-    """A bin for each item, after some generations from best-fit starts (noisy but the first) and ``elites``."""
+def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray] = (), generations: int | None = None) -> tuple[np.ndarray, int, int]:
+    """A bin for each item, after some generations from ``elites`` and best fits of unsorted orders; the fewest bins at the start, and the crossovers made.
+
+    A population that hasn't reached the bound by half the time takes in a newcomer, the best fit of the falling order.
+    """
     rng = np.random.default_rng(seed)
-    none, every = np.full(len(sizes), -1, np.int64), np.arange(len(sizes))
+    none = np.full(len(sizes), -1, np.int64)
     least = -(-int(sizes.sum()) // capacity)
-    people = list(elites) or [insert(none, sizes, every, capacity)]
-    grade = lambda x: fitness(x, sizes, capacity)
-    best = max(people, key=grade)
-    if -grade(best)[0] <= least:
-        return best
-    people += [insert(none, sizes, every, capacity, rng) for _ in range(POPULATION - len(people))]
-    grades = [grade(x) for x in people]
+    people = list(elites)
+    if not people or max(fitness(x, sizes, capacity) for x in people)[0] < -least:
+        people += [insert(none, sizes, rng.permutation(len(sizes)), capacity, falling=False) for _ in range(POPULATION - len(people))]
+    grades = [fitness(x, sizes, capacity) for x in people]
+    start, made = -max(grades)[0], 0
     pick = random.Random(seed)
-    for _ in range(GENERATIONS if generations is None else generations):
+    generations = GENERATIONS if generations is None else generations
+    for n in range(generations):
+        if -max(grades)[0] <= least or len(people) < 2:
+            break
+        if n == generations // 2:
+            worst = min(range(len(people)), key=grades.__getitem__)
+            people[worst] = insert(none, sizes, np.arange(len(sizes)), capacity)
+            grades[worst] = fitness(people[worst], sizes, capacity)
         i, j = pick.sample(range(len(people)), 2)
         child = crossover(people[i], people[j], sizes, capacity, rng)
+        made += 1
         if pick.random() < 0.3:
             child = mutate(child, sizes, capacity, rng)
-        g = grade(child)
+        g = fitness(child, sizes, capacity)
         worst = min(range(len(people)), key=grades.__getitem__)
         if g > grades[worst]:
             people[worst], grades[worst] = child, g
-        if -max(grades)[0] <= least:
-            break
-    return people[max(range(len(people)), key=grades.__getitem__)]
+    return people[max(range(len(people)), key=grades.__getitem__)], start, made
 
 
 def _colonies(items: DataFrame, count: int, salt: int) -> DataFrame:
@@ -150,7 +159,7 @@ def _colonies(items: DataFrame, count: int, salt: int) -> DataFrame:
 
 
 def _epoch(colonies: DataFrame, elites: DataFrame | None, capacity: int, epoch: int) -> DataFrame:
-    """colony, island, bins (as bytes), n_bins, after one epoch; ``elites`` are the islands' bests so far."""
+    """colony, island, bins (as bytes), n_bins, n_start and crossovers, after one epoch; ``elites`` are the islands' bests so far."""
 
     def run(batches):
         for batch in batches:
@@ -158,10 +167,10 @@ def _epoch(colonies: DataFrame, elites: DataFrame | None, capacity: int, epoch:
                 sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
                 held = {e["island"]: np.frombuffer(e["bins"], np.int32).astype(np.int64) for e in row["elites"] or []}
                 own = [held[i] for i in (row["island"], (row["island"] + 1) % ISLANDS) if i in held]
-                bins = evolve(sizes, capacity, seed=(row["colony"] * ISLANDS + row["island"]) * EPOCHS + epoch, elites=own)
+                bins, start, made = evolve(sizes, capacity, seed=(row["colony"] * ISLANDS + row["island"]) * EPOCHS + epoch, elites=own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["colony"]]), pa.array([row["island"]]), pa.array([bins.astype(np.int32).tobytes()]), pa.array([int(bins.max()) + 1])],
-                    names=["colony", "island", "bins", "n_bins"],
+                    [pa.array([row["colony"]]), pa.array([row["island"]]), pa.array([bins.astype(np.int32).tobytes()]), pa.array([int(bins.max()) + 1]), pa.array([start]), pa.array([made])],
+                    names=["colony", "island", "bins", "n_bins", "n_start", "crossovers"],
                 )
 
     spark = colonies.sparkSession
@@ -170,7 +179,7 @@ def _epoch(colonies: DataFrame, elites: DataFrame | None, capacity: int, epoch:
     else:
         rows = colonies.join(elites.groupBy("colony").agg(F.collect_list(F.struct("island", "bins")).alias("elites")), "colony")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ISLANDS - 1).cast("bigint"))).alias("island"))
-    return settle(rows.repartition(parallelism(spark), "colony", "island").mapInArrow(run, "colony bigint, island bigint, bins binary, n_bins bigint"), "elites")
+    return settle(rows.repartition(parallelism(spark), "colony", "island").mapInArrow(run, "colony bigint, island bigint, bins binary, n_bins bigint, n_start bigint, crossovers bigint"), "elites")
 
 
 def _round(items: DataFrame, count: int, capacity: int, salt: int) -> DataFrame:

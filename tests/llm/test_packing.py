@@ -32,7 +32,8 @@ def test_ids_of_odd_texts(model):
 @given(st.lists(st.integers(1, 63), min_size=1, max_size=60), st.integers(0, 9))
 def test_evolved_bins_are_legal_and_no_worse_than_best_fit(sizes, seed):
     sizes = np.array(sizes)
-    bins = packing.evolve(sizes, 64, seed)
+    bins, start, made = packing.evolve(sizes, 64, seed)
+    assert bins.max() + 1 <= start and (made > 0) == (start > -(-int(sizes.sum()) // 64))
     fill = np.bincount(bins, weights=sizes)
     assert fill.max() <= 64 and fill.min() > 0
     first = packing.insert(np.full(len(sizes), -1), sizes, np.arange(len(sizes)), 64)
@@ -74,3 +75,29 @@ def test_packing_is_whole_gapless_and_tight(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), *PATHS).collect() == []
+
+
+def test_crossover_gains_bins_over_its_start_and_over_best_fit():
+    gained = 0
+    for seed in range(6):
+        sizes = np.random.default_rng(seed).integers(16, 40, 60)
+        bins, start, made = packing.evolve(sizes, 100, seed, generations=400)
+        gained += bins.max() + 1 < packing.insert(np.full(60, -1), sizes, np.arange(60), 100).max() + 1
+    assert gained
+    sizes = np.random.default_rng(1).integers(400, 1300, 2000)
+    bins, start, made = packing.evolve(sizes, 2048, 1, generations=15)  # no newcomer before the eighth
+    first, _, _ = packing.evolve(sizes, 2048, 1, generations=0)
+    few, _, _ = packing.evolve(sizes, 2048, 1, generations=7)
+    assert first.max() + 1 == start and few.max() + 1 < start - 10 and bins.max() <= few.max() and made == 15
+
+
+def test_the_given_documents_are_packed_by_crossovers(spark, monkeypatch):
+    seen = []
+    real = packing.settle
+    monkeypatch.setattr(packing, "settle", lambda df, name: (seen.append(out) if name == "elites" else None, out)[1] if (out := real(df, name)) is not None else None)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_documents(docs, *PATHS)
+    row = got.agg(F.sum("length").alias("total"), F.countDistinct("sequence_id").alias("bins")).first()
+    first = seen[0].agg(F.sum("crossovers"), F.sum(F.col("n_start") - F.col("n_bins"))).first()
+    assert first[0] > 0 and first[1] > 0
+    assert row["bins"] <= 1.005 * row["total"] / 2048 + 1
