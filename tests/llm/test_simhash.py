@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spotweave.llm import simhash
@@ -50,6 +51,46 @@ def test_near_fingerprints_match_brute_force(spark):
     assert got == want and want
 
 
+def test_a_key_of_many_fingerprints_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "KEY_ROWS", 5)
+    values = [(7 << 100) ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)]
+    df = spark.createDataFrame([(f"{v:032x}",) for v in values] * 2, "fingerprint string")
+    got = dict(map(tuple, simhash.near_counts(df.limit(40), df, 3).collect()))
+    every = set(values)
+    assert got == {k: sum(v != int(k, 16) and (v ^ int(k, 16)).bit_count() <= 3 for v in every) for k in got} and max(got.values()) > 5
+
+
+def edited_of(rows):
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda x: x[0])
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        half = len(t) // 2
+        out[i] = hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % len(rows)][1][:half]).encode()).hexdigest()
+    return out
+
+
+@pytest.mark.parametrize("make", [lambda i: (i - 200) * 46_000_000_000_000_000, lambda i: i if i < 399 else 10**15, lambda i: f"document-{i:06d}", lambda i: "z" * (i % 7) + str(i)])
+def test_any_ids(spark, monkeypatch, make):
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    rows = [(make(i), f"text number {i} of some words {i * 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, f"doc_id {'string' if isinstance(make(0), str) else 'long'}, text string").repartition(3)
+    got = simhash.compare_edited(df).collect()
+    assert {r["doc_id"]: r["edited_sha256"] for r in got} == edited_of(rows) and len(got) == 400
+    sizes = [r["count"] for r in simhash._buckets(df.select(F.col("doc_id").alias("id"), "text")).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 100
+
+
+def test_an_id_that_repeats_is_cut_by_its_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rows = [(i if i % 3 else 7, f"text number {i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    sizes = [r["count"] for r in simhash._buckets(df).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 1500 and max(sizes) <= 100
+    got = simhash.compare_edited(df, "id").collect()
+    asked = [r for r in got if r["n_near"] is not None]
+    assert len(got) == 1500 and all(r["id"] % 20 == 0 for r in asked) and len(asked) == sum(i % 20 == 0 for i, _ in rows)
+
+
 def test_fingerprints_are_a_function_of_the_text(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "a b d"), (4, None), (5, " ")], "doc_id long, text string")
     got = dict(map(tuple, simhash.fingerprints(df).collect()))
