@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ def test_segments_match_definition():
         dense = [-drift] * n
         for p, s in zip(at, score):
             dense[p] = s
-        got = tox.maximal_segments(at, score, drift)
+        dense = [r.uniform(-2, 0) if r.random() < 0.2 and x < 0 else x for x in dense]
+        got = tox.maximal_segments(np.array(dense))
         want = brute_segments(dense)
         assert [(a, z) for a, z, _ in got] == [(a, z) for a, z, _ in want]
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
@@ -73,3 +75,21 @@ def test_without_labels_nothing_is_toxic(tables, spark):
     model = tox.train(docs, labels.limit(0))
     assert tox.score_texts(docs, model).where("predicted = 1").count() == 0
     assert tox.score_texts(docs.limit(0), model).collect() == []
+
+
+def test_words_typical_of_clean_texts_count_against(spark):
+    r = random.Random(2)
+    docs, labels = [], []
+    for i in range(800):
+        w = r.choices([f"w{k}" for k in range(150)], k=50)
+        for _ in range(5):
+            w.insert(r.randrange(len(w)), r.choice(["vile", "rotten"] if i % 2 else ["kindly", "thanks"]))
+        docs.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = tox.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert (model.scores > 0).any() and (model.scores < 0).any()
+    got = {x["doc_id"]: x for x in tox.score_texts(spark.createDataFrame([(1, "vile rotten vile rotten"), (2, "vile kindly thanks kindly thanks rotten"), (None, "w1 w2")], "doc_id long, text string"), model).collect()}
+    assert len(got[1]["segments"]) == 1 and got[1]["score"] > got[2]["score"] and len(got) == 3
+    kept = tox.without_toxic(df.withColumnRenamed("doc_id", "a.b"), model)
+    assert kept.columns == ["a.b", "text"] and 350 <= kept.count() <= 450
