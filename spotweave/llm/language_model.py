@@ -16,17 +16,20 @@ from the same plan of ``docs``; should a plan not give the same rows twice, the
 answers don't meet their blocks and the job fails rather than scores wrong.
 
 Null and empty texts hold the end token only.  Repeated rows each count and each
-get a row.  Ids may repeat or be null (the empty string's remainder then counts).
+get a row.  Ids may repeat, be null (the empty string's remainder then counts)
+or be of any type that casts to text and back.
 Without training tokens every probability is uniform.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from . import text as T
 from .groups import by_group, sorted_groups
@@ -134,7 +137,7 @@ def _send(docs: DataFrame, order: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "shard bigint, block bigint, grams binary, counted binary, deleted binary")
 
 
-def _answer(sent: DataFrame) -> DataFrame:
+def _answer(sent: DataFrame, parts: int) -> DataFrame:
     """block, shard, counted, deleted: the totals of the grams that the block sent; known: on a shard's first answer its distinct training grams."""
 
     def run(batches):
@@ -161,16 +164,16 @@ def _answer(sent: DataFrame) -> DataFrame:
                 names=["block", "shard", "counted", "deleted", "known", "known_counted"],
             )
 
-    return by_group(sent, run, "block bigint, shard bigint, counted binary, deleted binary, known bigint, known_counted bigint")
+    return by_group(sent, run, "block bigint, shard bigint, counted binary, deleted binary, known bigint, known_counted bigint", parts)
 
 
-def _meet(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
+def _meet(docs: DataFrame, answers: DataFrame, order: int, parts: int) -> DataFrame:
     """id, fold, n_tokens, and per order the tokens' counts as byte planes: all training documents', and without the deleted fold (that fold's documents only)."""
 
     def tokens(batches):
         for block in _blocks(batches):
             words, back = np.unique(block.tokens, return_inverse=True)
-            ids = "\n".join("" if i is None else str(i) for i in block.ids)
+            ids = json.dumps(block.ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block.key]),
@@ -190,7 +193,7 @@ def _meet(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
             for copy in range(int((shard < 0).sum())):  # equal blocks share their answers
                 if copy == len(shard):
                     raise RuntimeError("the documents' plan gave other rows the second time: write them to a table first")
-                ids = column["d"][copy].as_py().decode().split("\n")
+                ids = json.loads(column["d"][copy].as_py())
                 words = unpack_sorted(column["a"][copy].as_py())
                 first = np.concatenate([[0], np.cumsum(unpack(column["c"][copy].as_py(), np.uint32).astype(np.int64))])
                 block = Block(ids, words[unpack(column["b"][copy].as_py(), np.uint32)], first)
@@ -208,21 +211,22 @@ def _meet(docs: DataFrame, answers: DataFrame, order: int) -> DataFrame:
                 for i, doc in enumerate(ids):
                     a, z = first[i], first[i + 1]
                     fold = int(block.folds[i])
-                    out[0].append(int(doc) if doc else None)
+                    out[0].append(doc)
                     out[1].append(fold)
                     out[2].append(z - a)
                     out[3].append([pack((c[a:z] + d[a:z]).astype(np.uint32)) for c, d in counts])
                     out[4].append([pack(c[a:z].astype(np.uint32)) for c, d in counts] if fold == DELETED else None)
                 planes = pa.list_(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], planes), pa.array(out[4], planes)],
+                    [pa.array(out[0], pa.int64() if kind == "bigint" else pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], planes), pa.array(out[4], planes)],
                     names=["id", "fold", "n_tokens", "counts", "counted"],
                 )
 
+    kind = docs.schema["id"].dataType.simpleString()
     sent = docs.mapInArrow(tokens, "block bigint, shard bigint, a binary, b binary, c binary, d binary")
     none = F.lit(None).cast("binary")
     rows = sent.union(answers.select("block", "shard", "counted", "deleted", none, none))
-    return settle(by_group(rows, run, "id bigint, fold bigint, n_tokens bigint, counts array<binary>, counted array<binary>"), "token-counts")
+    return settle(by_group(rows, run, f"id {kind}, fold bigint, n_tokens bigint, counts array<binary>, counted array<binary>", parts), "token-counts")
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -273,13 +277,15 @@ def _weights(met: DataFrame, order: int, documents: float, tokens: float, words:
 
 def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    given = docs.schema[id_col].dataType
+    kind = "bigint" if isinstance(given, IntegralType) else "string"
+    docs = docs.select(F.col(f"`{id_col}`").cast(kind).alias("id"), F.col(text_col).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(1, int(max(4 * parallelism(docs.sparkSession), chars / SHARD_CHARS) - 1).bit_length())
-    answers = settle(_answer(_send(docs, order, bits)), "answers")
+    # A task meets about a shard of grams, or two blocks and their answers, whatever the input's size.
+    answers = settle(_answer(_send(docs, order, bits), -(-chars // SHARD_CHARS)), "answers")
     words = answers.where(F.col("shard") % (order + 1) == 1).agg(F.sum("known"), F.sum("known_counted")).first()
-    met = _meet(docs, answers.select("block", "shard", "counted", "deleted"), order)
+    met = _meet(docs, answers.select("block", "shard", "counted", "deleted"), order, -(-chars // (2 * BLOCK_BYTES)))
     trains = {r[0]: (r[1], r[2]) for r in met.groupBy("fold").agg(F.count("*"), F.sum("n_tokens")).collect()}
     size = lambda folds: tuple(float(sum(trains.get(f, (0, 0))[i] for f in folds)) for i in (0, 1))
     fit = [f for f in range(FOLDS) if f not in (HELD_OUT, DELETED)]
@@ -301,6 +307,6 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
                 names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    schema = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     scored = met.select("id", "fold", "n_tokens", "counts").mapInArrow(run, schema)
-    return scored.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    return scored.withColumn("id", F.col("id").cast(given)).withColumnRenamed("id", id_col)

@@ -58,3 +58,9 @@ def test_probabilities_of_a_context_sum_to_one():
 
 def test_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ids_of_any_type(spark):
+    rows = [(f"k\n{i}" if i else None, f"some words of text {i % 5}") for i in range(40)]
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()}
+    assert got.keys() == {i for i, _ in rows} and all(r["held_out"] == (zlib.crc32((i or "").encode()) % 7 == 2) for i, r in got.items())
