@@ -167,7 +167,7 @@ def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 #: Ids that tell the order's bounds, and the bounds.
-SAMPLE, BOUNDS = 16_384, 255
+SAMPLE, BOUNDS = 16_384, 127
 
 
 def _order_key(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -203,18 +203,11 @@ def _buckets(docs: DataFrame) -> DataFrame:
     many = [max(1, t * count // (BOUNDS * BUCKET)) if t > 1 and exact else 1 for t in times] + [1]
     top = max(each, *many)
 
-    def below(a: int, z: int) -> Column:
-        """How many cuts from a up to z are less than the key, by halves."""
-        if a == z:
-            return F.lit(a)
-        m = (a + z) // 2
-        return F.when(F.lit(cuts[m]) < F.col("k"), below(m + 1, z)).otherwise(below(a, m))
-
     def numbers(values: list[float]) -> Column:
         return F.element_at(F.lit([float(v) for v in values]), F.col("j") + 1)
 
     low, high = [ends[0], *cuts], [*cuts, ends[1]]
-    docs = docs.withColumn("j", below(0, len(cuts)))
+    docs = docs.withColumn("j", F.size(F.filter(F.lit(cuts), lambda c: c < F.col("k"))))
     share = (F.col("k").cast("double") - numbers(low)) / F.greatest(numbers(high) - numbers(low), F.lit(1.0))
     between = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * F.lit(each - 1))
     within = F.floor((F.col("th").cast("double") / F.lit(2.0**64) + 0.5) * numbers(many))
@@ -282,5 +275,5 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         F.when(asked, F.col("fingerprint")).alias("probe"),
     )
-    rows = join_classes(rows, near, "probe", "size", wide.where(asked).count(), "left")
+    rows = join_classes(settle(rows, "compared"), near, "probe", "size", wide.where(asked).count(), "left")
     return rows.select(F.col("id").cast(kind).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
