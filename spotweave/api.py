@@ -78,8 +78,8 @@ def deconv_celltype(counts: DataFrame, means: DataFrame, methods: list[str], str
     return shared, weights, errors
 
 
-celltype_annotator = annotate.constrained_assignment
-genexp_predictor = predict.diffuse
+celltype_annotator = annotate.annotate_cells
+genexp_predictor = predict.predict_expression
 analyze_interaction = interaction.analyze_interaction
 compute_environment_features = interaction.environment_features
 correlation_analysis = interaction.correlation_analysis

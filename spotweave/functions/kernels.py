@@ -43,67 +43,114 @@ def box_qp(d: np.ndarray, c: np.ndarray, low: np.ndarray, rounds: int = 200) ->
     return x
 
 
+def sum_qp(d: np.ndarray, c: np.ndarray, low: np.ndarray, total: float, rounds: int = 60) -> np.ndarray:
+    """The x >= low with the given sum (no less than that of ``low``) of least x'dx / 2 - c'x: the multiplier of the sum by bisection."""
+    scale = np.abs(c).max() + np.abs(d).max() * (np.abs(low).max() + abs(total) + 1)
+    below, above = -2 * scale, 2 * scale
+    for _ in range(rounds):
+        m = (below + above) / 2
+        below, above = (m, above) if box_qp(d, c - m, low).sum() > total else (below, m)
+    return box_qp(d, c - (below + above) / 2, low)
+
+
+def _prediction_weights(signature: np.ndarray, x: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """1 / prediction squared by gene (at most ``most``), divided by the least; genes without a prediction weigh as much as the heaviest."""
+    with np.errstate(divide="ignore"):
+        w = 1 / (signature @ x) ** 2
+    known = np.isfinite(w)
+    if not known.any():
+        return np.ones(len(w))
+    w[~known] = w[known].max()
+    w = np.minimum(w, most)
+    return w / w.min()
+
+
 def dampened_wls(signature: np.ndarray, bulk: np.ndarray, dampening: int, rounds: int = 1000, tol: float = 0.01) -> np.ndarray:
-    """Proportions by weighted least squares, weights 1 / prediction squared, capped at 2 ^ dampening times the least."""
+    """Proportions by weighted least squares, weights 1 / prediction squared, capped at 2 ^ (dampening - 1) times the least.
+
+    Each round moves a fifth of the way to the new solution, until a move is no longer than ``tol``.
+    """
     x = nnls(signature, bulk)
     for _ in range(rounds):
-        p = np.maximum(np.abs(signature @ x), 1e-12)
-        w = np.minimum((1 / p) ** 2, 1e6)
-        w = np.minimum(w / w.min(), 2.0**dampening)
-        root = np.sqrt(w)
-        new = (4 * x + nnls(signature * root[:, None], bulk * root)) / 5
-        done = np.linalg.norm(new - x) <= tol * max(1e-12, np.linalg.norm(x))
-        x = new
-        if done:
+        root = np.sqrt(np.minimum(_prediction_weights(signature, x), 2.0 ** (dampening - 1)))
+        move = (nnls(signature * root[:, None], bulk * root) - x) / 5
+        x = x + move
+        if np.linalg.norm(move) <= tol:
             break
     x = np.maximum(x, 0)
     return x / x.sum() if x.sum() > 0 else x
 
 
 def dampening_constant(signature: np.ndarray, bulk: np.ndarray, seed: int = 0, draws: int = 50) -> int:
-    """The cap exponent whose solutions on random halves of the genes vary least."""
+    """The exponent of the cap under which fits to random halves of the genes have the evenest coefficients.
+
+    A fit's score is the deviation across its coefficients (negative ones count
+    as 0); the weights multiply the bulk alone.  The first of the best exponents wins.
+    """
     rng = np.random.default_rng(seed)
-    x = nnls(signature, bulk)
-    w = np.minimum((1 / np.maximum(np.abs(signature @ x), 1e-12)) ** 2, 1e6)
-    w = w / w.min()
-    top = max(1, int(np.ceil(np.log2(w.max()))) if w.max() > 1 else 1)
-    halves = [rng.permutation(len(bulk))[: max(signature.shape[1], len(bulk) // 2)] for _ in range(draws)]
-    spread = []
-    for j in range(1, top + 1):
-        wd = np.minimum(w, 2.0 ** (j - 1))
-        found = np.array([np.linalg.lstsq(signature[h], bulk[h] * wd[h], rcond=None)[0] for h in halves])
-        found = np.maximum(found, 0)
-        found = found / np.maximum(found.sum(1, keepdims=True), 1e-12)
-        spread.append(found.std(0).mean())
-    return int(np.argmin(spread)) + 1
+    w = _prediction_weights(signature, nnls(signature, bulk), 1e6)
+    score = []
+    for j in range(1, max(1, int(np.ceil(np.log2(w.max())))) + 1):
+        capped = bulk * np.minimum(w, 2.0 ** (j - 1))
+        halves = [rng.choice(len(bulk), len(bulk) // 2, replace=False) for _ in range(draws)]
+        score.append(np.mean([np.maximum(np.linalg.lstsq(signature[h], capped[h], rcond=None)[0], 0).std() for h in halves]))
+    return int(np.argmin(score)) + 1
 
 
 _NODES, _WEIGHTS = np.polynomial.hermite.hermgauss(24)
 
 
+def _lognormal_nodes(y: np.ndarray, mu: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per gene the factors exp(sigma z) at nodes around the integrand's mode, and the logarithms of the weighted integrand there (without y!)."""
+    z = np.log((y + 1) / mu) * sigma * (y + 1) / (1 + sigma * sigma * (y + 1))
+    for _ in range(12):
+        rate = mu * np.exp(sigma * z)
+        z = z + np.clip((sigma * (y - rate) - z) / (1 + sigma * sigma * rate), -1, 1)
+    width = 1 / np.sqrt(1 + sigma * sigma * mu * np.exp(sigma * z))
+    at = z[:, None] + np.sqrt(2) * width[:, None] * _NODES[None, :]
+    factor = np.exp(sigma * at)
+    log_p = y[:, None] * (np.log(mu)[:, None] + sigma * at) - mu[:, None] * factor - at * at / 2
+    return factor, log_p + (np.log(_WEIGHTS) + _NODES**2)[None, :] + np.log(width / np.sqrt(np.pi))[:, None]
+
+
 def poisson_lognormal_derivatives(y: np.ndarray, mu: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivative by mu of log P(y), y Poisson with a mean of mu times a lognormal factor, by quadrature."""
-    e = np.exp(np.sqrt(2) * sigma * _NODES)[None, :]
+    """First and second derivative by mu of log P(y), y Poisson with a mean of mu times a lognormal factor, by quadrature around the mode."""
+    e, log_p = _lognormal_nodes(y, mu, sigma)
+    p = np.exp(log_p - log_p.max(1, keepdims=True))
     lam = mu[:, None] * e
-    log_p = y[:, None] * np.log(lam) - lam
-    p = np.exp(log_p - log_p.max(1, keepdims=True)) * _WEIGHTS[None, :]
     q = y[:, None] / lam - 1
     zero, one, two = p.sum(1), (p * q * e).sum(1), (p * (q * q - y[:, None] / lam**2) * e * e).sum(1)
     return one / zero, two / zero - (one / zero) ** 2
 
 
-def rctd_weights(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float, rounds: int = 50, tol: float = 1e-3, most: float = 100) -> np.ndarray:
-    """Unconstrained weights of a spot: damped Newton steps with a positive-definite Hessian and x >= 0."""
+def poisson_lognormal_loss(y: np.ndarray, mu: np.ndarray, sigma: float) -> float:
+    """Minus the summed log P(y), y Poisson with a mean of mu times a lognormal factor, by quadrature around the mode."""
+    _, log_p = _lognormal_nodes(y, mu, sigma)
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(y.max(initial=0)) + 1)))])[y.astype(int)]
+    top = log_p.max(1)
+    return float((fact - top - np.log(np.exp(log_p - top[:, None]).sum(1))).sum())
+
+
+def rctd_weights(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float | None, rounds: int = 50, tol: float = 1e-3, most: float = 100, whole: bool = False) -> np.ndarray:
+    """Weights of a spot: damped Newton steps with a positive-definite Hessian and x >= 0; ``whole`` keeps their sum at 1.
+
+    Without ``sigma`` the squared difference of the logarithms is fitted instead of the likelihood, for a bulk sample.
+    """
     s = signature * n_umi
-    y = np.minimum(y, most)
+    y = y if sigma is None else np.minimum(y, most)
     x = np.full(s.shape[1], 1 / s.shape[1])
     for _ in range(rounds):
         mu = np.maximum(np.abs(s @ np.maximum(x, 0)), max(1e-4, n_umi * 1e-7))
-        d1, d2 = poisson_lognormal_derivatives(y, mu, sigma)
+        if sigma is None:
+            gap = np.log(mu) - np.log(np.maximum(y, 1e-300))
+            d1, d2 = -2 * gap / mu, -2 * (1 - gap) / mu**2
+        else:
+            d1, d2 = poisson_lognormal_derivatives(y, mu, sigma)
         value, vector = np.linalg.eigh(-(s * d2[:, None]).T @ s)
         hess = (vector * np.maximum(value, 1e-3)) @ vector.T
         norm = np.linalg.norm(hess, 2)
-        step = 0.3 * box_qp(hess / norm + 1e-7 * np.eye(len(x)), (d1 @ s) / norm, -np.maximum(x, 0))
+        d, c, low = hess / norm + 1e-7 * np.eye(len(x)), (d1 @ s) / norm, -np.maximum(x, 0)
+        step = 0.3 * (sum_qp(d, c, low, 1 - np.maximum(x, 0).sum()) if whole else box_qp(d, c, low))
         x = np.maximum(x, 0) + step
         if np.abs(step).sum() <= tol:
             break
@@ -149,6 +196,56 @@ def assign_with_quota(score: np.ndarray, quota: np.ndarray) -> np.ndarray:
             out[via[a, b]] = b
 
 
+def deal_quotas(total: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Quotas by block (rows) that sum to the block's size and, over all blocks, to ``total``: the kinds' places, spread evenly, are handed out in order."""
+    given, out = np.zeros(len(total), np.int64), []
+    for size in sizes:
+        place = [np.arange(g, min(g + size, t)) for g, t in zip(given, total)]
+        kind = np.repeat(np.arange(len(total)), [len(p) for p in place])
+        key = (np.concatenate(place) + 0.5) / np.repeat(np.maximum(total, 1), [len(p) for p in place])
+        got = np.bincount(kind[np.argsort(key, kind="stable")[:size]], minlength=len(total))
+        given += got
+        out.append(got)
+    return np.array(out).reshape(len(sizes), len(total))
+
+
+def transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The transport plan of least cost from a to b (of equal sums): shares move along the cheapest paths, which may take back what an earlier path moved."""
+    plan, left, want = np.zeros(cost.shape), a.astype(float).copy(), b.astype(float).copy()
+    n, m = cost.shape
+    eps = 1e-12 * max(1.0, a.sum())
+    while left.max(initial=0) > eps and want.max(initial=0) > eps:
+        far, near = np.where(left > eps, 0.0, np.inf), np.full(m, np.inf)
+        from_row, from_col = np.full(m, -1), np.full(n, -1)
+        for _ in range(n + m):
+            reach = far[:, None] + cost
+            best = reach.argmin(0)
+            better = reach[best, np.arange(m)] < near - 1e-13
+            near[better], from_row[better] = reach[best, np.arange(m)][better], best[better]
+            back = np.where(plan > eps, near[None, :] - cost, np.inf)
+            best = back.argmin(1)
+            closer = back[np.arange(n), best] < far - 1e-13
+            far[closer], from_col[closer] = back[np.arange(n), best][closer], best[closer]
+            if not closer.any():
+                break
+        j = int(np.argmin(np.where(want > eps, near, np.inf)))
+        path, size = [], want[j]
+        while True:
+            i = int(from_row[j])
+            path.append((i, j, 1))
+            if from_col[i] < 0:
+                size = min(size, left[i])
+                break
+            j = int(from_col[i])
+            path.append((i, j, -1))
+            size = min(size, plan[i, j])
+        for i, j, sign in path:
+            plan[i, j] += sign * size
+        left[path[-1][0]] -= size
+        want[path[0][1]] -= size
+    return np.maximum(plan, 0)
+
+
 def sinkhorn(a: np.ndarray, b: np.ndarray, cost: np.ndarray, reg: float = 0.01, rounds: int = 2000) -> np.ndarray:
     """The entropic transport plan from a to b, in logarithms."""
     f, g = np.zeros(len(a)), np.zeros(len(b))

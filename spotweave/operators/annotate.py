@@ -7,10 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import kernels
+from ..sources.io import cut_lineage, small_pandas
+from . import spatial
 
 #: The detector's classes and the names under which priors know them.
 MORPHOLOGY = {0: "nolabel", 1: "Neoplastic cells", 2: "Inflammatory", 3: "Connective/Soft tissue cells", 4: "Dead Cells", 5: "Epithelial"}
 DROPPED = ("nolabel", "Dead Cells")
+#: Types by morphologies that the driver solves, and cells outside all spots that one task assigns.
+TRANSFER_CELLS, REST_CELLS = 10_000, 20_000
 
 
 def morphology_types(cells: DataFrame, code: str = "img_type") -> DataFrame:
@@ -69,39 +73,115 @@ def cosine_cost(types: DataFrame, morphologies: DataFrame, priors: DataFrame | N
     return cost.join(liked, ["cell_type", "morphology"], "left").select("cell_type", "morphology", F.when(F.col("liked"), F.col("cost") / factor).otherwise(F.col("cost")).alias("cost"))
 
 
-def type_transfer(cost: DataFrame, type_share: DataFrame, morphology_share: DataFrame, reg: float = 0.01) -> DataFrame:
-    """P(cell_type | morphology) from the entropic transport between both shares (types by morphologies: a table of a few dozen entries, solved on the driver)."""
-    c = cost.toPandas().pivot(index="cell_type", columns="morphology", values="cost")
-    a = type_share.toPandas().set_index("cell_type")["value"].reindex(c.index).fillna(0).to_numpy(float)
-    b = morphology_share.toPandas().set_index("morphology")["value"].reindex(c.columns).fillna(0).to_numpy(float)
+def type_transfer(cost: DataFrame, type_share: DataFrame, morphology_share: DataFrame, method: str = "emd", reg: float = 0.01) -> DataFrame:
+    """P(cell_type | morphology) from the transport between both shares, the exact one or with ``method`` sinkhorn the entropic one.
+
+    Types by morphologies are a table of at most ``TRANSFER_CELLS`` entries, solved on the driver.
+    """
+    if method not in ("emd", "sinkhorn"):
+        raise ValueError("method must be emd or sinkhorn")
+    c = small_pandas(cost, TRANSFER_CELLS, "cost table").pivot(index="cell_type", columns="morphology", values="cost")
+    a = small_pandas(type_share, TRANSFER_CELLS, "table of types").set_index("cell_type")["value"].reindex(c.index).fillna(0).to_numpy(float)
+    b = small_pandas(morphology_share, TRANSFER_CELLS, "table of morphologies").set_index("morphology")["value"].reindex(c.columns).fillna(0).to_numpy(float)
     a = a / a.sum() if a.sum() > 0 else np.full(len(a), 1 / len(a))
     b = b / b.sum() if b.sum() > 0 else np.full(len(b), 1 / len(b))
-    plan = kernels.sinkhorn(a, b, c.to_numpy(float), reg)
+    plan = kernels.transport(a, b, c.to_numpy(float)) if method == "emd" else kernels.sinkhorn(a, b, c.to_numpy(float), reg)
     p = plan / np.where(plan.sum(0) > 0, plan.sum(0), 1)[None, :]
     rows = [(t, m, float(p[i, j])) for i, t in enumerate(c.index) for j, m in enumerate(c.columns)]
     return cost.sparkSession.createDataFrame(rows, "cell_type string, morphology string, p double")
 
 
-def constrained_assignment(scores: DataFrame, membership: DataFrame, quotas: DataFrame, types: list[str]) -> DataFrame:
+def constrained_assignment(scores: DataFrame, membership: DataFrame, quotas: DataFrame, types: list[str], totals: DataFrame | None = None) -> DataFrame:
     """cell_id, pred_cell_type, spot_id: each spot's cells take its quota of every type at the greatest total score.
 
     Spots that share no cell are independent, so each is solved exactly on its
-    own: a group is one spot's cells.  Cells of no spot take their best type.
+    own: a group is one spot's cells.  ``totals`` (cell_type, quota) bind all
+    cells: those of no spot then share what the spots leave, exactly up to
+    ``REST_CELLS`` of them, and in even blocks of so many beyond; without
+    ``totals`` they take their best type.
     ``scores``: cell_id, cell_type, score (absent ones are 0); ``membership``:
     cell_id, spot_id (one spot per cell); ``quotas``: spot_id, cell_type, quota.
+    Quotas that can't be met raise.
     """
     pivot = scores.groupBy("cell_id").agg(*[F.coalesce(F.max(F.when(F.col("cell_type") == t, F.col("score"))), F.lit(0.0)).alias(f"s{i}") for i, t in enumerate(types)])
     want = quotas.groupBy("spot_id").agg(*[F.coalesce(F.max(F.when(F.col("cell_type") == t, F.col("quota"))), F.lit(0)).alias(f"q{i}") for i, t in enumerate(types)])
     s, q = [f"s{i}" for i in range(len(types))], [f"q{i}" for i in range(len(types))]
-    inside = membership.join(pivot, "cell_id").join(want, "spot_id")
+    inside = membership.join(pivot, "cell_id").join(want, "spot_id", "left").fillna(0, q)
+    kind = membership.schema["cell_id"].dataType.simpleString(), membership.schema["spot_id"].dataType.simpleString()
+    rest = pivot.join(membership, "cell_id", "left_anti")
+    if totals is not None:
+        pivot, inside, rest = None, cut_lineage(inside), cut_lineage(rest)
+        held = inside.groupBy("spot_id").agg(F.count("*").alias("cells"), *[F.first(c).alias(c) for c in q])
+        held = cut_lineage(held.withColumn("whole", sum((F.col(c) for c in q), F.lit(0))))
+        bad = held.where("cells <> whole").limit(1).collect()
+        if bad:
+            raise ValueError(f"spot {bad[0]['spot_id']} has {bad[0]['cells']} cells but quotas of {bad[0]['whole']}")
+        used = held.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in q]).first()
+        given = {r["cell_type"]: int(r["quota"]) for r in totals.where(F.col("cell_type").isin(types)).collect()}
+        left = np.array([given.get(t, 0) - int(used[c]) for t, c in zip(types, q)], np.int64)
+        if (left < 0).any():
+            raise ValueError("the spots' quotas exceed the totals: " + ", ".join(f"{t} by {-n}" for t, n in zip(types, left) if n < 0))
+        n = rest.count()
+        if left.sum() != n:
+            raise ValueError(f"the totals leave {left.sum()} places to {n} cells outside the spots")
+        blocks = max(1, -(-n // REST_CELLS))
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)))
+        sizes = dealt.groupBy("block").count().orderBy("block").collect()
+        places = kernels.deal_quotas(left, np.array([r["count"] for r in sizes], np.int64))
+        spark = membership.sparkSession
+        share = spark.createDataFrame([(r["block"], *map(int, p)) for r, p in zip(sizes, places)], "block bigint, " + ", ".join(f"{c} bigint" for c in q))
+        outside = dealt.join(share, "block").select(F.lit(None).cast(kind[1]).alias("spot_id"), "cell_id", *s, *q, "block")
+        inside = inside.select("spot_id", "cell_id", *s, *q, F.lit(None).cast("bigint").alias("block")).unionByName(outside)
+    else:
+        inside = inside.withColumn("block", F.lit(None).cast("bigint"))
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("cell_id")
         at = kernels.assign_with_quota(g[s].to_numpy(float), g[q].iloc[0].to_numpy(int))
         return pd.DataFrame({"cell_id": g["cell_id"], "pred_cell_type": [types[i] for i in at], "spot_id": g["spot_id"]})
 
-    kind = membership.schema["cell_id"].dataType.simpleString(), membership.schema["spot_id"].dataType.simpleString()
-    solved = inside.groupBy("spot_id").applyInPandas(solve, f"cell_id {kind[0]}, pred_cell_type string, spot_id {kind[1]}")
+    solved = inside.groupBy("spot_id", "block").applyInPandas(solve, f"cell_id {kind[0]}, pred_cell_type string, spot_id {kind[1]}")
+    if totals is not None:
+        return solved
     best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(len(types))]))["i"]
-    rest = pivot.join(membership, "cell_id", "left_anti").select("cell_id", F.array(*[F.lit(t) for t in types])[-best].alias("pred_cell_type"), F.lit(None).cast(kind[1]).alias("spot_id"))
+    rest = rest.select("cell_id", F.array(*[F.lit(t) for t in types])[-best].alias("pred_cell_type"), F.lit(None).cast(kind[1]).alias("spot_id"))
     return solved.unionByName(rest)
+
+
+def annotate_cells(cells: DataFrame, spots: DataFrame, spot_ratios: DataFrame, points: DataFrame, point_ratios: DataFrame, radius: float, point_radius: float, types: list[str], alpha: float | None = None, priors: DataFrame | None = None, factor: float = 2.0, method: str = "emd") -> DataFrame:
+    """cell_id, pred_cell_type, spot_id of every cell near a super-resolution point: the annotator as a whole.
+
+    Cells with a point within ``point_radius`` (Chebyshev) stay; each belongs to
+    the nearest spot within ``radius`` (ties to the smaller id), if there is one.
+    A spot's cells are dealt to the types by its ratios, all cells by the sum of
+    these; scores are the points' ratios, with ``alpha`` blended with the
+    transport of the detector's classes (column img_type) to the types.
+    ``cells``: cell_id, x, y; ``spots``: spot_id, x, y; ``spot_ratios``: spot_id,
+    cell_type, value; ``points``: point_id, x, y; ``point_ratios``: point_id, cell_type, value.
+    """
+    at = lambda df, id_col, name: df.select(F.col(id_col).alias(name), "x", "y")
+    pairs = spatial.radius_join(at(cells, "cell_id", "query_id"), at(points, "point_id", "base_id"), point_radius, "chebyshev")
+    member = cut_lineage(pairs.select(F.col("base_id").alias("point_id"), F.col("query_id").alias("cell_id")))
+    kept = cut_lineage(cells.join(member.select("cell_id").distinct(), "cell_id", "left_semi"))
+    near = spatial.nearest_within(at(kept, "cell_id", "query_id"), at(spots, "spot_id", "base_id"), radius)
+    inside = cut_lineage(near.select(F.col("query_id").alias("cell_id"), F.col("base_id").alias("spot_id")))
+    counts = inside.groupBy("spot_id").agg(F.count("*").alias("total"))
+    if counts.isEmpty():
+        raise ValueError("no spot holds a cell")
+    # Every spot that holds cells has a ratio of every type.
+    names = cells.sparkSession.createDataFrame([(t,) for t in types], "cell_type string")
+    ratios = counts.join(F.broadcast(names), how="cross").join(spot_ratios, ["spot_id", "cell_type"], "left").fillna(0.0, ["value"])
+    quotas = cut_lineage(largest_remainder(ratios, ["spot_id"]).select("spot_id", "cell_type", "quota"))
+    whole = quotas.groupBy("cell_type").agg(F.sum("quota").alias("value")).withColumns({"g": F.lit(1), "total": F.lit(kept.count())})
+    totals = cut_lineage(largest_remainder(whole, ["g"]).select("cell_type", "quota"))
+    scores = segment_scores(member, point_ratios)
+    if alpha is not None:
+        seen = morphology_types(kept.join(inside, "cell_id"), "img_type")
+        per = cut_lineage(seen.groupBy("spot_id", "morphology").agg(F.count("*").cast("double").alias("value")))
+        cost = cosine_cost(quotas.select("spot_id", "cell_type", F.col("quota").cast("double").alias("value")), per, priors, factor)
+        share = per.groupBy("morphology").agg(F.sum("value").alias("value"))
+        transfer = type_transfer(cost, totals.select("cell_type", F.col("quota").cast("double").alias("value")), share, method)
+        scores = blend_morphology(scores, morphology_types(kept, "img_type").select("cell_id", "morphology"), transfer, alpha)
+    # A cell without any score still takes part.
+    scores = scores.unionByName(kept.select("cell_id", F.lit(types[0]).alias("cell_type"), F.lit(0.0).alias("score"))).groupBy("cell_id", "cell_type").agg(F.sum("score").alias("score"))
+    return constrained_assignment(scores, inside, quotas, types, totals)

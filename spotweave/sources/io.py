@@ -64,3 +64,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{folder}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_pandas(df: DataFrame, most: int, what: str):
+    """``df`` on the driver, if it has no more than ``most`` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"the {what} has more than {most} rows")
+    return df.toPandas()
