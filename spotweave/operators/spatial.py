@@ -17,22 +17,32 @@ def radius_join(query: DataFrame, base: DataFrame, radius: float | str, metric:
     """All (query_id, base_id, distance) within the radius, which counts as inside.
 
     ``query``: query_id, x, y and, if ``radius`` names a column, that column;
-    ``base``: base_id, x, y.  The plane is cut into square cells of the greatest
-    radius; each query meets the base points of its cell and the eight around it
-    in an equi-join, so the plan is a hash or sort-merge join and dense cells
-    are split by AQE's skew handling.  ``cell`` sets another cell size, which
-    must be no less than any radius.  Points without coordinates match nothing.
+    ``base``: base_id, x, y.  The plane is cut into square cells of the radius;
+    each query meets the base points of its cell and the eight around it in an
+    equi-join, so the plan is a hash or sort-merge join and dense cells are split
+    by AQE's skew handling.  Radii of a column fall into classes by powers of
+    two, each with cells of its own size, so one great radius doesn't coarsen
+    the others' cells.  ``cell`` sets another cell size, which must be no less
+    than any radius.  Points without coordinates match nothing.
     """
     r = F.col("r").cast("double")
     query = query.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col(radius) if isinstance(radius, str) else F.lit(float(radius))).alias("r"))
-    if cell is None:
-        cell = query.agg(F.max("r")).first()[0] if isinstance(radius, str) else radius
-    cell = float(cell or 1.0)
-    at = lambda c: F.floor(F.col(c) / F.lit(cell))
+    if isinstance(radius, str) and cell is None:
+        level = F.ceil(F.log2(F.greatest(r, F.lit(1e-9)))).cast("int")
+        query = query.where("r >= 0").withColumn("level", level)
+        levels = [row[0] for row in query.select("level").distinct().collect()]
+        base = base.withColumn("level", F.explode(F.lit(levels or [0])))
+        size = F.pow(F.lit(2.0), F.col("level"))
+    else:
+        if cell is None:
+            cell = radius
+        query, base = query.withColumn("level", F.lit(0)), base.withColumn("level", F.lit(0))
+        size = F.lit(float(cell or 1.0))
+    at = lambda c: F.floor(F.col(c) / size)
     around = F.array(*[F.struct((at("qx") + i).alias("gx"), (at("qy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    probes = query.where("qx is not null and qy is not null").select("query_id", "qx", "qy", "r", F.inline(around))
-    cells = base.where("x is not null and y is not null").select("base_id", "x", "y", at("x").alias("gx"), at("y").alias("gy"))
-    pairs = probes.join(cells, ["gx", "gy"]).withColumn("distance", _distance(metric, F.col("qx") - F.col("x"), F.col("qy") - F.col("y")))
+    probes = query.where("qx is not null and qy is not null").select("query_id", "qx", "qy", "r", "level", F.inline(around))
+    cells = base.where("x is not null and y is not null").select("base_id", "x", "y", "level", at("x").alias("gx"), at("y").alias("gy"))
+    pairs = probes.join(cells, ["level", "gx", "gy"]).withColumn("distance", _distance(metric, F.col("qx") - F.col("x"), F.col("qy") - F.col("y")))
     return pairs.where(F.col("distance") <= r).select("query_id", "base_id", "distance")
 
 
@@ -81,7 +91,8 @@ def sr_grid(points: DataFrame, step: int) -> DataFrame:
     box = points.agg(*[f(c).cast("bigint").alias(f"{n}{c}") for c in "xy" for n, f in (("min_", F.min), ("max_", F.max))])
     axis = lambda c: F.when(F.col(f"max_{c}") > F.col(f"min_{c}"), F.sequence(F.col(f"min_{c}"), F.col(f"max_{c}") - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
     grid = box.select(F.explode(axis("x")).alias("x"), axis("y").alias("ys"), F.size(axis("y")).alias("ny"), "min_x")
-    grid = grid.select("x", F.posexplode("ys").alias("j", "y"), "ny", "min_x")
+    # One row holds the box; its columns of points spread before they unfold.
+    grid = grid.repartition("x").select("x", F.posexplode("ys").alias("j", "y"), "ny", "min_x")
     return grid.select((((F.col("x") - F.col("min_x")) / step).cast("bigint") * F.col("ny") + F.col("j")).alias("point_id"), "x", "y")
 
 

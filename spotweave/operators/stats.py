@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 
@@ -30,13 +30,6 @@ def pearson_by_gene(expression: DataFrame, target: DataFrame) -> DataFrame:
     return per.join(whole, how="cross").select("gene", "n", r.alias("r"))
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Ranks from 1 within a group, ties sharing their mean."""
-    first = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return first + (ties - 1) / 2
-
-
 def spearman_by_gene(expression: DataFrame, target: DataFrame) -> DataFrame:
     """gene, n and Spearman's r over the cells of ``target``; absent entries are zeros and share their ranks.
 
@@ -45,10 +38,9 @@ def spearman_by_gene(expression: DataFrame, target: DataFrame) -> DataFrame:
     """
     every = with_global_rank(target, "target", "rt")
     whole = every.agg(F.count("*").alias("n"), F.sum("rt").alias("st"), F.sum(F.col("rt") * F.col("rt")).alias("stt"))
-    held = expression.where("value <> 0").join(every.select("obs", "rt"), "obs")
-    low = F.count(F.when(F.col("value") < 0, 1)).over(Window.partitionBy("gene"))
-    filled = F.count("*").over(Window.partitionBy("gene"))
-    held = held.select("gene", "value", "rt", average_rank(["gene"], "value").alias("own"), low.alias("low"), filled.alias("filled")).join(whole, how="cross")
+    held = with_global_rank(expression.where("value <> 0").join(every.select("obs", "rt"), "obs"), "value", "own", by=["gene"])
+    sizes = held.groupBy("gene").agg(F.count(F.when(F.col("value") < 0, 1)).alias("low"), F.count("*").alias("filled"))
+    held = held.select("gene", "value", "rt", "own").join(sizes, "gene").join(whole, how="cross")
     zeros = F.col("n") - F.col("filled")
     held = held.withColumn("rv", F.col("own") + F.when(F.col("value") > 0, zeros).otherwise(0)).withColumn("rz", F.col("low") + (zeros + 1) / 2).withColumn("zeros", zeros)
     per = held.groupBy("gene", "n", "st", "stt", "rz", "zeros").agg(F.sum("rv").alias("sv"), F.sum(F.col("rv") * F.col("rv")).alias("svv"), F.sum(F.col("rv") * F.col("rt")).alias("svt"), F.sum("rt").alias("part"))
@@ -60,22 +52,28 @@ def spearman_by_gene(expression: DataFrame, target: DataFrame) -> DataFrame:
     return per.select("gene", "n", r.alias("r"))
 
 
-def with_global_rank(rows: DataFrame, value: str, name: str, buckets: int = 64) -> DataFrame:
-    """``rows`` with their average rank over all rows; null values are left out.
+def _value_buckets(rows: DataFrame, value: str, by: list[str], buckets: int) -> DataFrame:
+    """by, value, n, b and before: every distinct value's rows, its bucket (between quantile bounds of all values), and the group's rows in lower buckets."""
+    cuts = sorted(set(rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
+    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__b", bucket)
+    lower = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    past = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__s")).select(*by, "__b", F.coalesce(F.sum("__s").over(lower), F.lit(0)).alias("__past"))
+    return counts.join(past, [*by, "__b"])
+
+
+def with_global_rank(rows: DataFrame, value: str, name: str, buckets: int = 64, by: list[str] | None = None) -> DataFrame:
+    """``rows`` with their average rank over all rows, or over those of equal ``by``; null values are left out.
 
     Quantile bounds cut the values into buckets; a value's rank is its place in
     the bucket plus the rows of the buckets before, so no window holds more than
     a bucket's distinct values.
     """
+    by = by or []
     rows = rows.where(F.col(value).isNotNull())
-    cuts = sorted(set(rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    counts = rows.groupBy(value).agg(F.count("*").alias("__n")).withColumn("__b", bucket)
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    past = counts.groupBy("__b").agg(F.sum("__n").alias("__s")).select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__past"))
-    inner = Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.join(past, "__b").select(value, (F.col("__past") + F.coalesce(F.sum("__n").over(inner), F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
-    return rows.join(ranks, value)
+    inner = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("__past") + F.coalesce(F.sum("__n").over(inner), F.lit(0)) + (F.col("__n") + 1) / 2
+    return rows.join(_value_buckets(rows, value, by, buckets).select(*by, value, rank.alias(name)), [*by, value])
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -116,18 +114,22 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def benjamini_hochberg(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
+def benjamini_hochberg(tests: DataFrame, p: str = "p", by: list[str] | None = None, buckets: int = 64) -> DataFrame:
     """``tests`` with ``p_adjust``; null p are left out of the count and stay null.  ``by``: families of tests."""
     fam = by or []
     ranked = tests.where(F.col(p).isNotNull())
-    up = Window.partitionBy(*fam).orderBy(p)
-    m = F.count("*").over(Window.partitionBy(*fam))
-    # Equal p share a value: the greatest rank of a tie gives the least product.
-    ties = F.count("*").over(Window.partitionBy(*fam, p))
-    ranked = ranked.withColumn("__raw", F.col(p) * m / (F.rank().over(up) + ties - 1))
-    down = Window.partitionBy(*fam).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranked.withColumn("p_adjust", F.least(F.lit(1.0), F.min("__raw").over(down))).drop("__raw")
-    return ranked.unionByName(tests.where(F.col(p).isNull()).withColumn("p_adjust", F.lit(None).cast("double")))
+    # Equal p share a value: the greatest rank of a tie gives the least product.  Buckets of p keep windows small, with families or without.
+    each = _value_buckets(ranked, p, fam, buckets)
+    up = Window.partitionBy(*fam, "__b").orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*fam, "__b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = each.groupBy(*fam).agg(F.sum("__n").alias("__m"))
+    each = each.join(sizes, fam) if fam else each.join(sizes, how="cross")
+    each = each.withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__past") + F.sum("__n").over(up)))
+    above = Window.partitionBy(*fam).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    least = each.groupBy(*fam, "__b").agg(F.min("__raw").alias("__l")).select(*fam, "__b", F.min("__l").over(above).alias("__above"))
+    each = each.join(least, [*fam, "__b"]).select(*fam, p, F.least(F.lit(1.0), F.min("__raw").over(down), "__above").alias("p_adjust"))
+    out = ranked.join(each, [*fam, p]).select(*tests.columns, "p_adjust")
+    return out.unionByName(tests.where(F.col(p).isNull()).withColumn("p_adjust", F.lit(None).cast("double")))
 
 
 @F.pandas_udf(DoubleType())

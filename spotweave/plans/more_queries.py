@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import annotate, deconv, detect, ensemble, interaction, matrix, predict, spatial
+from ..sources.io import cut_lineage
 from . import roles as R
 from .queries import C, S, _ids, query, rounded
 
@@ -28,11 +29,18 @@ def l1_to_consensus(spark, d):
     return rounded(ensemble.l1_to_consensus(m, m.groupBy("spot_id", "cell_type").agg(F.avg("value").alias("consensus"))), "l1")
 
 
-@query(f"""WITH m AS (SELECT * FROM ({M}) WHERE NOT (method = 'price' AND spot_id % 3 = 0)) SELECT spot_id, method, cell_type, round(value, 6) AS value FROM m
-WHERE spot_id IN (SELECT spot_id FROM m GROUP BY 1 HAVING count(DISTINCT method) = 3)""")
+THREE = """SELECT l_suppkey AS spot_id, 'lines' AS method, l_returnflag AS cell_type, count(*) AS value FROM lineitem GROUP BY 1, 3 UNION ALL
+SELECT user_id, 'events', event_type, count(*) FROM events GROUP BY 1, 3 UNION ALL SELECT o_custkey, 'orders', o_orderpriority, count(*) FROM orders GROUP BY 1, 3"""
+
+
+@query(f"""WITH m AS ({THREE}) SELECT spot_id, method, cell_type, value FROM m WHERE spot_id IN (SELECT spot_id FROM m GROUP BY 1 HAVING count(DISTINCT method) = 3)""")
 def common_spots(spark, d):
-    m = R.method_proportions(spark, d).where("not (method = 'price' and spot_id % 3 = 0)")
-    return rounded(ensemble.common_spots(m, 3), "value").select("spot_id", "method", "cell_type", "value")
+    """Ids that suppliers' lines, users' events and customers' orders share."""
+    m = None
+    for name, at, kind, method in (("lineitem", "l_suppkey", "l_returnflag", "lines"), ("events", "user_id", "event_type", "events"), ("orders", "o_custkey", "o_orderpriority", "orders")):
+        rows = R.table(spark, d, name).groupBy(F.col(at).cast("bigint").alias("spot_id"), F.lit(method).alias("method"), F.col(kind).alias("cell_type")).agg(F.count("*").alias("value"))
+        m = rows if m is None else m.unionByName(rows)
+    return ensemble.common_spots(m, 3).select("spot_id", "method", "cell_type", "value")
 
 
 def _endecon_sql(rounds: int) -> str:
@@ -209,6 +217,7 @@ def diffusion_start(spark, d):
 @query(GRAPH + ", " + START + ", " + STEP.format(k=1, p=0) + ", " + STEP.format(k=2, p=1) + " SELECT cell_id, gene, labeled, round(value, 6) AS value FROM v2")
 def label_diffusion(spark, d):
     start, graph = diffusion_start(spark, d)
+    graph = cut_lineage(graph)  # both steps read it, several times each
     return rounded(predict.diffusion_step(predict.diffusion_step(start, graph), graph), "value")
 
 

@@ -100,9 +100,12 @@ def tile_grid(spark, d):
 SC, RC, RL = R.SPOT_COUNTS_SQL, R.REF_COUNTS_SQL, R.REF_LABELS_SQL
 
 
-@query(f"""WITH s AS (SELECT * FROM ({SC}) WHERE gene < 40), r AS (SELECT * FROM ({RC}) WHERE gene >= 10) SELECT obs, gene, value FROM s WHERE gene IN (SELECT gene FROM r)""")
+@query("""WITH s AS (SELECT l_suppkey AS obs, l_partkey AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2) SELECT obs, gene, value FROM s WHERE gene IN (SELECT user_id FROM events)""")
 def gene_align(spark, d):
-    return matrix.gene_align(R.spot_counts(spark, d).where("gene < 40"), R.ref_counts(spark, d).where("gene >= 10"))[0].select("obs", "gene", "value")
+    """Parts as genes in the suppliers' lines, users as genes in the events: those that both tables hold."""
+    lines = R.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("obs"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
+    events = R.table(spark, d, "events").select(F.col("event_id").alias("obs"), F.col("user_id").alias("gene"), "value")
+    return matrix.gene_align(lines, events)[0].select("obs", "gene", "value")
 
 
 @query(f"""WITH v AS (SELECT obs, gene, greatest(value, 0) AS v FROM ({R.VECTORS_SQL})), t AS (SELECT obs, sum(v) AS s FROM v GROUP BY 1)
