@@ -300,3 +300,44 @@ def delaunay_edges(x: np.ndarray, y: np.ndarray, frame: tuple[float, float, floa
         order = np.lexsort((y, x))
         return np.sort(np.column_stack([order[:-1], order[1:]]), 1) if every is None else every
     return np.unique(np.sort(np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [0, 2]]]), 1), axis=0)
+
+
+def polygon_area(x: np.ndarray, y: np.ndarray) -> float:
+    """The area of a simple polygon; its last corner joins its first."""
+    return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
+
+
+def _slices(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where horizontal lines enter and leave a polygon: two arrays of lines by intervals, empty ones at 0."""
+    x1, y1 = np.roll(x, -1), np.roll(y, -1)
+    line = at[:, None]
+    cut = (np.minimum(y, y1) <= line) & (line < np.maximum(y, y1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        place = np.where(cut, x + (line - y) * (x1 - x) / (y1 - y), np.inf)
+    place.sort(1)
+    place = place[:, : int(cut.sum(1).max(initial=0) + 1) // 2 * 2]
+    place[~np.isfinite(place)] = 0.0
+    return place[:, 0::2], place[:, 1::2]
+
+
+def common_area(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> float:
+    """The area that two simple polygons share.
+
+    Between the heights of all corners and crossings the shared width is linear
+    in the height, so its middle value times the height is exact.
+    """
+    ax1, ay1, bx1, by1 = np.roll(ax, -1), np.roll(ay, -1), np.roll(bx, -1), np.roll(by, -1)
+    ux, uy, vx, vy = (ax1 - ax)[:, None], (ay1 - ay)[:, None], (bx1 - bx)[None, :], (by1 - by)[None, :]
+    wx, wy = bx[None, :] - ax[:, None], by[None, :] - ay[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        det = ux * vy - uy * vx
+        s, t = (wx * vy - wy * vx) / det, (wx * uy - wy * ux) / det
+        crossing = (ay[:, None] + s * uy)[(det != 0) & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)]
+    heights = np.unique(np.concatenate([ay, by, crossing]))
+    heights = heights[(heights >= max(ay.min(), by.min())) & (heights <= min(ay.max(), by.max()))]
+    if len(heights) < 2:
+        return 0.0
+    at = (heights[1:] + heights[:-1]) / 2
+    (a0, a1), (b0, b1) = _slices(ax, ay, at), _slices(bx, by, at)
+    width = np.minimum(a1[:, :, None], b1[:, None, :]) - np.maximum(a0[:, :, None], b0[:, None, :])
+    return float((np.maximum(width, 0).sum((1, 2)) * np.diff(heights)).sum())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import stats
+
 
 def gene_align(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables restricted to the genes that they share."""
@@ -163,3 +165,62 @@ def stratified_sample(rows: DataFrame, by: str, id_col: str, most: int, seed: in
     """Up to ``most`` rows of every stratum, the least by a seeded hash of the id: the same for any partitioning."""
     order = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
     return rows.withColumn("__p", F.row_number().over(Window.partitionBy(by).orderBy(order, id_col))).where(F.col("__p") <= most).drop("__p")
+
+
+def drop_empty(counts: DataFrame, least_cells: int = 1, least_genes: int = 1) -> DataFrame:
+    """``counts`` of genes that ``least_cells`` observations hold, then of observations that hold ``least_genes`` of these; zeros don't count."""
+    held = counts.where("value <> 0")
+    genes = held.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") >= least_cells).select("gene")
+    kept = counts.join(genes, "gene", "left_semi")
+    cells = kept.where("value <> 0").groupBy("obs").agg(F.count("*").alias("n")).where(F.col("n") >= least_genes).select("obs")
+    return kept.join(cells, "obs", "left_semi")
+
+
+def qc_metrics(counts: DataFrame, n_obs: int) -> tuple[DataFrame, DataFrame]:
+    """Per observation n_genes, total and log1p_total; per gene n_cells, mean (over ``n_obs``), total and the percentage of observations without it."""
+    some = F.count(F.when(F.col("value") > 0, 1))
+    obs = counts.groupBy("obs").agg(some.alias("n_genes"), F.sum("value").alias("total")).withColumn("log1p_total", F.log1p("total"))
+    gene = counts.groupBy("gene").agg(some.alias("n_cells"), F.sum("value").alias("total"))
+    return obs, gene.select("gene", "n_cells", "total", (F.col("total") / n_obs).alias("mean"), (100 * (1 - F.col("n_cells") / n_obs)).alias("pct_dropout"))
+
+
+def expected_expression(abundance: DataFrame, signature: DataFrame, scale: DataFrame, additive: DataFrame, sensitivity: DataFrame) -> DataFrame:
+    """obs, cell_type, gene, part and expected: each type's part w g m y of the expected count, and the whole, (sum of w g m + s) y.
+
+    ``abundance``: obs, cell_type, value (w); ``signature``: cell_type, gene, mean
+    (g); ``scale``: gene, m; ``additive``: gene, s; ``sensitivity``: obs, y.
+    """
+    rows = abundance.join(signature, "cell_type").join(scale.join(additive, "gene"), "gene").join(sensitivity, "obs")
+    rows = rows.withColumn("part", F.col("value") * F.col("mean") * F.col("m") * F.col("y"))
+    whole = F.sum("part").over(Window.partitionBy("obs", "gene")) + F.col("s") * F.col("y")
+    return rows.select("obs", "cell_type", "gene", "part", whole.alias("expected"))
+
+
+def split_by_expectation(expected: DataFrame, counts: DataFrame) -> DataFrame:
+    """obs, cell_type, gene, value: each count shared out by the types' parts of its expectation."""
+    rows = counts.join(expected, ["obs", "gene"])
+    return rows.select("obs", "cell_type", "gene", F.when(F.col("expected") > 0, F.col("value") * F.col("part") / F.col("expected")).otherwise(0.0).alias("value"))
+
+
+def wilcoxon_markers(expression: DataFrame, labels: DataFrame, top: int = 100) -> DataFrame:
+    """cell_type, gene, z and place: the ``top`` genes of each type by the rank sum of its cells against all others.
+
+    Absent entries are zeros that share their ranks; they aren't made, as their
+    rank and number follow from the counts.  z is without a correction for ties.
+    ``labels``: obs, cell_type; cells without a label take no part.  Ties go to the smaller gene.
+    """
+    sizes = labels.groupBy("cell_type").agg(F.count("*").alias("n1"))
+    n = labels.agg(F.count("*").alias("n"))
+    held = expression.where("value <> 0").join(labels, "obs")
+    held = stats.with_global_rank(held, "value", "own", by=["gene"])
+    per = held.groupBy("gene").agg(F.count(F.when(F.col("value") < 0, 1)).alias("low"), F.count("*").alias("filled"))
+    zeros = F.col("n") - F.col("filled")
+    shift = F.col("own") + F.when(F.col("value") > 0, F.col("n") - F.col("filled")).otherwise(0)
+    sums = held.join(per, "gene").join(n, how="cross").groupBy("gene", "cell_type").agg(F.sum(shift).alias("r"), F.count("*").alias("k"))
+    # Types and genes are the result's own size.
+    grid = per.join(sizes, how="cross").join(n, how="cross").join(sums, ["gene", "cell_type"], "left").fillna(0, ["r", "k"])
+    whole = F.col("r") + (F.col("n1") - F.col("k")) * (F.col("low") + (zeros + 1) / 2)
+    z = (whole - F.col("n1") * (F.col("n") + 1) / 2) / F.sqrt(F.col("n1") * (F.col("n") - F.col("n1")) * (F.col("n") + 1) / 12.0)
+    rows = grid.where("n1 < n").select("cell_type", "gene", z.alias("z"))
+    place = F.row_number().over(Window.partitionBy("cell_type").orderBy(F.desc("z"), "gene"))
+    return rows.withColumn("place", place).where(F.col("place") <= top)

@@ -110,3 +110,38 @@ def tile_grid(extents: DataFrame, tile: int = 256, overlap: int = 64) -> DataFra
         F.least(F.lit(tile), F.col("width") - F.col("x0")).cast("bigint").alias("w"),
         F.least(F.lit(tile), F.col("height") - F.col("y0")).cast("bigint").alias("h"),
     )
+
+
+def inside_mask(points: DataFrame, mask: DataFrame, width: int, height: int) -> DataFrame:
+    """The points within 0 <= x < width, 0 <= y < height whose pixel (coordinates cut to whole numbers) is in ``mask`` (x, y)."""
+    inner = points.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
+    pixels = mask.select(F.col("x").cast("bigint").alias("px"), F.col("y").cast("bigint").alias("py"))
+    same = (F.col("x").cast("bigint") == F.col("px")) & (F.col("y").cast("bigint") == F.col("py"))
+    return inner.join(pixels, same, "left_semi")
+
+
+def select_slide(rows: DataFrame, slide, column: str = "slide") -> DataFrame:
+    """The rows of one slide; an unknown one raises."""
+    out = rows.where(F.col(column) == F.lit(slide))
+    if out.limit(1).count() == 0:
+        raise ValueError(f"no row has {column} {slide!r}")
+    return out
+
+
+def onto_cells(cells: DataFrame, results: DataFrame, id_col: str = "cell_id") -> DataFrame:
+    """``cells`` with the results' columns, null where they have none; columns of both keep the cells' values."""
+    return cells.join(results.select(id_col, *[c for c in results.columns if c not in cells.columns]), id_col, "left")
+
+
+def check_ids(left: DataFrame, right: DataFrame, id_col: str = "obs") -> None:
+    """Raise unless both tables hold the same ids."""
+    a, b = left.select(id_col).distinct(), right.select(id_col).distinct()
+    only = a.join(b, id_col, "left_anti").count(), b.join(a, id_col, "left_anti").count()
+    if any(only):
+        raise ValueError(f"{only[0]} ids are in the first table only, {only[1]} in the second only")
+
+
+def type_pairs(types: DataFrame, name: str = "cell_type") -> DataFrame:
+    """first, second: every pair of different types in order; types are a short list."""
+    one = types.select(F.col(name).alias("first")).distinct()
+    return one.join(one.withColumnRenamed("first", "second"), F.col("first") < F.col("second"))

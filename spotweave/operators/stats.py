@@ -155,3 +155,8 @@ def overlap_test(sets: DataFrame, hits: DataFrame, universe: int) -> DataFrame:
     rows = sizes.join(shared, "set_id", "left").fillna(0, ["overlap"]).join(n_hits, how="cross")
     rows = rows.withColumn("p", hypergeometric_tail("overlap", F.lit(universe), "set_size", "n_hits"))
     return benjamini_hochberg(rows)
+
+
+def significant(tests: DataFrame, level: float = 0.05, p: str = "p_adjust") -> DataFrame:
+    """The tests whose adjusted p is below the level; null ones aren't."""
+    return tests.where(F.col(p) < level)

@@ -363,3 +363,71 @@ def majority_type(spark, d):
     kinds = F.create_map(*[x for i, t in enumerate(["view", "click", "error", "purchase", "signup"]) for x in (F.lit(t), F.lit(i))])
     pixels = R.table(spark, d, "events").select(F.col("user_id").alias("instance"), kinds[F.col("event_type")].alias("type"))
     return rounded(detect.majority_type(pixels), "share")
+
+
+@query()
+def polygon_overlap(spark, d):
+    """Pairs of diamonds with a common area; an intersection of polygons, so without SQL."""
+    b = small_boxes(spark, d)
+    mid = lambda a, z: (F.col(a) + F.col(z)) / 2
+    diamonds = b.select("cell_id", F.array(F.col("cmin"), mid("cmin", "cmax"), F.col("cmax"), mid("cmin", "cmax")).alias("xs"), F.array(mid("rmin", "rmax"), F.col("rmax"), mid("rmin", "rmax"), F.col("rmin")).alias("ys"))
+    return rounded(detect.polygon_overlap_pairs(diamonds, cell=16.0), "area", "b_area", "common")
+
+
+PIXELS = "SELECT user_id AS instance, CAST(floor(value) AS BIGINT) AS x, CAST(60 * hour(ts) + minute(ts) AS BIGINT) AS y FROM events"
+
+
+@query(f"""WITH s AS (SELECT instance, count(*) AS n_pixels, min(y) AS rmin, min(x) AS cmin, max(y) + 1 AS rmax, max(x) + 1 AS cmax, round(avg(x), 6) AS centroid_x, round(avg(y), 6) AS centroid_y FROM ({PIXELS}) WHERE instance <> 0 GROUP BY 1 HAVING count(*) >= 10)
+SELECT *, row_number() OVER (ORDER BY instance) AS label FROM s""")
+def instance_shapes(spark, d):
+    pixels = R.table(spark, d, "events").select(F.col("user_id").alias("instance"), F.floor("value").alias("x"), (60 * F.hour("ts") + F.minute("ts")).cast("bigint").alias("y"))
+    return rounded(detect.instance_shapes(pixels, 10), "centroid_x", "centroid_y")
+
+
+# --- the entries -------------------------------------------------------------------
+
+
+@query()
+def annotator(spark, d):
+    """The whole annotator: spot and global quotas, blended scores, greatest total score; an optimisation, so without SQL."""
+    cells = R.cells(spark, d)
+    at = cells.select(F.floor(F.col("x") / 8).alias("gx"), F.floor(F.col("y") / 8).alias("gy"), "cell_type")
+    seen = at.groupBy("gx", "gy", "cell_type").agg(F.count("*").cast("double").alias("k"))
+    point = (F.col("gx") * 10000 + F.col("gy")).alias("point_id")
+    points = at.select("gx", "gy").distinct().select(point, (F.col("gx") * 8 + 4).cast("double").alias("x"), (F.col("gy") * 8 + 4).cast("double").alias("y"))
+    ratios = seen.select(point, "cell_type", (F.col("k") / F.sum("k").over(Window.partitionBy("gx", "gy"))).alias("value"))
+    spot_ratios = shares(spark, d).select("spot_id", "cell_type", "value")
+    segments = cells.select("cell_id", "x", "y", (F.col("cell_id") % 6).alias("img_type"))
+    return annotate.annotate_cells(segments, R.spots(spark, d), spot_ratios, points, ratios, R.SPOT_RADIUS, 8.0, R.TYPES, alpha=0.3)
+
+
+@query()
+def predictor(spark, d):
+    """The whole predictor: split, labels, fallback radius, Delaunay graph, diffusion by type; iterative, so without SQL."""
+    cells, inside = R.cells(spark, d), in_spot(spark, d)
+    counts = inside.groupBy("spot_id", F.dayofweek(F.date_from_unix_date((F.col("cell_id") % 7).cast("int"))).alias("gene")).agg(F.sum("x").alias("value"))
+    props = shares(spark, d).select("spot_id", "cell_type", (F.col("value") / F.sum("value").over(Window.partitionBy("spot_id"))).alias("value"))
+    means = cells.groupBy("cell_type", F.dayofweek(F.date_from_unix_date((F.col("cell_id") % 7).cast("int"))).alias("gene")).agg(F.avg("x").alias("mean"))
+    return rounded(predict.predict_expression(R.spots(spark, d), counts, props, means, cells, R.SPOT_RADIUS, tile=120.0, halo=60.0), "value")
+
+
+def _clusters(spark, d):
+    """Suppliers' nations as clusters, and their log-normalised counts with all zeros."""
+    clusters = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("obs"), F.col("s_nationkey").alias("cluster"))
+    counts = R.spot_counts(spark, d)
+    grid = counts.select("obs").distinct().join(F.broadcast(counts.select("gene").distinct()), how="cross")
+    return clusters, matrix.log_normalize(grid.join(counts, ["obs", "gene"], "left").fillna(0.0, ["value"]))
+
+
+@query()
+def dwls_clusters(spark, d):
+    """Supplier proportions by dampened least squares per nation, with its candidate types and their markers; a solver, so without SQL."""
+    clusters, log = _clusters(spark, d)
+    return rounded(deconv.dwls_deconv(R.spot_counts(spark, d), _signature(spark, d), clusters, log, cutoff=1.0), "value")
+
+
+@query()
+def rctd_pipeline(spark, d):
+    """Supplier proportions with the platform's effect and the deviation fitted; a solver, so without SQL."""
+    means, genes = _signature(spark, d, True), R.spot_counts(spark, d).select("gene").distinct()
+    return rounded(deconv.rctd(R.spot_counts(spark, d), means, genes, genes), "value")

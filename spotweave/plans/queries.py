@@ -284,3 +284,79 @@ def _ora(spark, d):
     hits = part.where("p_size >= 45 or (p_brand = 'Brand#7' and p_size >= 30)").select(F.col("p_partkey").alias("gene"))
     sets = part.select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("gene"))
     return rounded(stats.overlap_test(sets, hits, part.count()), "p", "p_adjust")
+
+
+# --- small operators ----------------------------------------------------------------
+
+
+@query(f"""WITH g AS (SELECT gene FROM ({SC}) WHERE value <> 0 GROUP BY 1 HAVING count(*) >= 5), k AS (SELECT * FROM ({SC}) WHERE gene IN (SELECT gene FROM g))
+SELECT obs, gene, value FROM k WHERE obs IN (SELECT obs FROM k WHERE value <> 0 GROUP BY 1 HAVING count(*) >= 20)""")
+def drop_empty(spark, d):
+    return matrix.drop_empty(R.spot_counts(spark, d), 5, 20).select("obs", "gene", "value")
+
+
+@query(f"SELECT obs, count(*) FILTER (value > 0) AS n_genes, sum(value) AS total, round(ln(1 + sum(value)), 6) AS log1p_total FROM ({RC}) GROUP BY 1")
+def qc_by_cell(spark, d):
+    return rounded(matrix.qc_metrics(R.ref_counts(spark, d), 1)[0], "log1p_total")
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM orders) SELECT gene, count(*) FILTER (value > 0) AS n_cells, sum(value) AS total, round(sum(value) / any_value(n), 6) AS mean, round(100 * (1 - count(*) FILTER (value > 0) / any_value(n)), 6) AS pct_dropout FROM ({RC}), n GROUP BY 1""")
+def qc_by_gene(spark, d):
+    return rounded(matrix.qc_metrics(R.ref_counts(spark, d), R.table(spark, d, "orders").count())[1], "mean", "pct_dropout")
+
+
+WILCOXON = f"""WITH l AS ({RL}), g AS (SELECT DISTINCT gene FROM ({RC})), f AS (SELECT gene, cell_type, coalesce(value, 0) AS value FROM g CROSS JOIN l LEFT JOIN ({RC}) USING (obs, gene)),
+r AS (SELECT gene, cell_type, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2 AS k, count(*) OVER (PARTITION BY gene) AS n FROM f),
+z AS (SELECT cell_type, gene, (sum(k) - count(*) * (any_value(n) + 1) / 2) / sqrt(count(*) * (any_value(n) - count(*)) * (any_value(n) + 1) / 12.0) AS z FROM r GROUP BY 1, 2)
+SELECT cell_type, gene, round(z, 6) AS z, row_number() OVER (PARTITION BY cell_type ORDER BY z DESC, gene) AS place FROM z QUALIFY row_number() OVER (PARTITION BY cell_type ORDER BY z DESC, gene) <= 100"""
+
+
+@query(WILCOXON)
+def wilcoxon_markers(spark, d):
+    return rounded(matrix.wilcoxon_markers(R.ref_counts(spark, d), R.ref_labels(spark, d)), "z")
+
+
+PARTS = f"""SELECT s.obs, cell_type, gene, s.value * mean * m * y AS part, sum(s.value * mean * m * y) OVER (PARTITION BY s.obs, gene) + a * y AS expected
+FROM (SELECT l_suppkey AS obs, o_orderpriority AS cell_type, count(*) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) s JOIN ({MEANS(RC)}) USING (cell_type)
+JOIN (SELECT l_partkey % 50 AS gene, avg(l_discount) + 1 AS m, avg(l_tax) AS a FROM lineitem GROUP BY 1) USING (gene) JOIN (SELECT s_suppkey AS obs, 1 + s_nationkey / 25 AS y FROM supplier) USING (obs)"""
+
+
+def _expected(spark, d):
+    li, orders = R.table(spark, d, "lineitem"), R.table(spark, d, "orders")
+    abundance = li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).groupBy(F.col("l_suppkey").alias("obs"), F.col("o_orderpriority").alias("cell_type")).agg(F.count("*").alias("value"))
+    per = li.groupBy((F.col("l_partkey") % 50).alias("gene")).agg((F.avg("l_discount") + 1).alias("m"), F.avg("l_tax").alias("s"))
+    y = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("obs"), (1 + F.col("s_nationkey") / 25).alias("y"))
+    return matrix.expected_expression(abundance, matrix.type_means(R.ref_counts(spark, d), R.ref_labels(spark, d)), per.select("gene", "m"), per.select("gene", "s"), y)
+
+
+@query(f"SELECT obs, cell_type, gene, round(part, 6) AS part, round(expected, 6) AS expected FROM ({PARTS})")
+def expected_expression(spark, d):
+    return rounded(_expected(spark, d), "part", "expected")
+
+
+@query(f"SELECT obs, cell_type, gene, round(CASE WHEN expected > 0 THEN c.value * part / expected ELSE 0 END, 6) AS value FROM ({PARTS}) JOIN ({SC}) c USING (obs, gene)")
+def expectation_split(spark, d):
+    return rounded(matrix.split_by_expectation(_expected(spark, d), R.spot_counts(spark, d)), "value")
+
+
+MASK = "SELECT DISTINCT CAST(floor(value) AS BIGINT) AS x, CAST(60 * hour(ts) + minute(ts) AS BIGINT) AS y FROM events"
+
+
+@query(f"""WITH b AS (SELECT CAST(trunc(min(x)) AS BIGINT) AS x0, CAST(trunc(max(x)) AS BIGINT) AS x1, CAST(trunc(min(y)) AS BIGINT) AS y0, CAST(trunc(max(y)) AS BIGINT) AS y1 FROM ({C}))
+SELECT x, y FROM (SELECT unnest(range(x0, x1, 5)) AS x, y0, y1 FROM b), LATERAL (SELECT unnest(range(y0, y1, 5)) AS y) WHERE x < 300 AND y < 1000 AND (x, y) IN ({MASK})""")
+def inside_mask(spark, d):
+    mask = R.table(spark, d, "events").select(F.floor("value").alias("x"), (60 * F.hour("ts") + F.minute("ts")).alias("y")).distinct()
+    return spatial.inside_mask(spatial.sr_grid(R.cells(spark, d), 5), mask, 300, 1000).select("x", "y")
+
+
+@query(f"SELECT a.cell_type AS first, b.cell_type AS second FROM (SELECT DISTINCT cell_type FROM ({C})) a JOIN (SELECT DISTINCT cell_type FROM ({C})) b ON a.cell_type < b.cell_type")
+def type_pairs(spark, d):
+    return spatial.type_pairs(R.cells(spark, d))
+
+
+@query(f"SELECT c.cell_id, c.cell_type, s.spot_id FROM ({C}) c LEFT JOIN (SELECT cell_id, min(spot_id) AS spot_id FROM ({C}) c JOIN ({S}) s ON sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) <= {R.SPOT_RADIUS} GROUP BY 1) s USING (cell_id)")
+def onto_cells(spark, d):
+    cells = R.cells(spark, d)
+    near = spatial.radius_join(_ids(cells, "cell_id", "query_id"), _ids(R.spots(spark, d), "spot_id", "base_id"), R.SPOT_RADIUS)
+    spot = near.groupBy(F.col("query_id").alias("cell_id")).agg(F.min("base_id").alias("spot_id"))
+    return spatial.onto_cells(cells.select("cell_id", "cell_type"), spot)

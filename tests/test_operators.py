@@ -498,3 +498,60 @@ def test_cache_follows_content(spark, tmp_path):
     for df in (a, a.orderBy(F.desc("k")), a.union(a.limit(1))):
         assert io.cached(str(tmp_path), [df], {"radius": 3}, build).count() == 3
     assert len(made) == 2
+
+
+def test_common_area_of_polygons():
+    square = np.array([0.0, 4, 4, 0]), np.array([0.0, 0, 4, 4])
+    ell = np.array([0.0, 6, 6, 2, 2, 0]), np.array([0.0, 0, 2, 2, 6, 6])
+    assert kernels.polygon_area(*ell) == 20 and kernels.common_area(*square, *ell) == pytest.approx(12)
+    assert kernels.common_area(*square, *square) == pytest.approx(16) and kernels.common_area(*ell, *(v + 9 for v in square)) == 0
+    comb = np.array([0.0, 7, 7, 5, 5, 4, 4, 2, 2, 0]), np.array([0.0, 0, 5, 5, 1, 1, 5, 5, 1, 1])
+    bar = np.array([-1.0, 8, 8, -1]), np.array([2.0, 2, 3, 3])
+    assert kernels.common_area(*comb, *bar) == pytest.approx(4)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        stars = []
+        for _ in range(2):
+            a = np.sort(rng.uniform(0, 2 * np.pi, 9))
+            r = rng.uniform(0.3, 1, 9)
+            stars.append((r * np.cos(a) + rng.uniform(-0.3, 0.3), r * np.sin(a)))
+        inside = lambda x, y, px, py: np.logical_xor.reduce([((ay > py) != (by > py)) & (px < ax + (py - ay) * (bx - ax) / (by - ay)) for ax, ay, bx, by in zip(x, y, np.roll(x, -1), np.roll(y, -1))])
+        g = (np.arange(600) + 0.5) / 600 * 2.8 - 1.4
+        px, py = np.meshgrid(g, g)
+        count = (inside(*stars[0], px, py) & inside(*stars[1], px, py)).sum() * (2.8 / 600) ** 2
+        assert kernels.common_area(*stars[0], *stars[1]) == pytest.approx(count, abs=0.02)
+
+
+def test_polygon_overlaps_match_brute_force(spark):
+    rng = np.random.default_rng(7)
+    shapes = []
+    for i in range(60):
+        a = np.sort(rng.uniform(0, 2 * np.pi, 6))
+        shapes.append((i, (rng.uniform(0, 50) + 5 * np.cos(a)).tolist(), (rng.uniform(0, 50) + 5 * np.sin(a)).tolist()))
+    df = spark.createDataFrame([*shapes, (100, [1.0, 2.0], [1.0, 2.0]), (101, None, None)], "cell_id long, xs array<double>, ys array<double>")
+    got = {(r["cell_id"], r["b_cell_id"]): r["common"] for r in detect.polygon_overlap_pairs(df, cell=16.0).collect()}
+    want = {}
+    for (i, ax, ay), (j, bx, by) in itertools.combinations(shapes, 2):
+        a, b = (np.array(ax), np.array(ay)), (np.array(bx), np.array(by))
+        c = kernels.common_area(*a, *b)
+        if c > 0.01 * min(kernels.polygon_area(*a), kernels.polygon_area(*b)):
+            want[i, j] = c
+    assert got == pytest.approx(want) and len(want) > 10
+    kept = sorted(r["cell_id"] for r in detect.overlap_dedup(df, cell=16.0, polygons=True).collect())
+    assert not any((i, j) in want for i, j in itertools.combinations(kept, 2)) and {100, 101} <= set(kept)
+
+
+def test_small_checks(spark):
+    a = spark.createDataFrame([(1, "s"), (2, "t")], "obs long, slide string")
+    assert [r["obs"] for r in spatial.select_slide(a, "t").collect()] == [2]
+    with pytest.raises(ValueError):
+        spatial.select_slide(a, "u")
+    spatial.check_ids(a, a)
+    with pytest.raises(ValueError, match="1 ids are in the first table only, 0"):
+        spatial.check_ids(a, a.where("obs = 1"))
+    tests = spark.createDataFrame([(1, 0.01), (2, 0.05), (3, None)], "id int, p_adjust double")
+    assert [r["id"] for r in stats.significant(tests).collect()] == [1]
+    wide = spark.createDataFrame([(i, float(x)) for i, x in enumerate([0.2, 3.0, 100.0, 0.0])], "query_id long, r double").withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    base = points(spark, [(k, float(k), 0.0) for k in range(0, 120, 3)], "base_id")
+    got = {(r[0], r[1]) for r in spatial.radius_join(wide, base, "r").collect()}
+    assert got == {(i, k) for i, x in enumerate([0.2, 3.0, 100.0, 0.0]) for k in range(0, 120, 3) if k <= x}
