@@ -35,8 +35,8 @@ from . import text as T
 from .groups import by_group, sorted_groups
 from .store import parallelism, settle
 
-#: Bytes of text in a block, and characters of text that a shard counts (about 2 million grams).
-BLOCK_BYTES, SHARD_CHARS = 8_000_000, 16_000_000
+#: Bytes of text in a block, characters of text that a shard counts (about 2 million grams), and those whose grams or blocks a task meets.
+BLOCK_BYTES, SHARD_CHARS, TASK_CHARS = 8_000_000, 16_000_000, 4_000_000
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Buckets of the context's frequency: 0, 1, 2, 3-4, 5-8 and so on, the last without end.
 BUCKETS = 24
@@ -282,10 +282,10 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
     docs = docs.select(F.col(f"`{id_col}`").cast(kind).alias("id"), F.col(text_col).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(1, int(max(4 * parallelism(docs.sparkSession), chars / SHARD_CHARS) - 1).bit_length())
-    # A task meets about a shard of grams, or two blocks and their answers, whatever the input's size.
-    answers = settle(_answer(_send(docs, order, bits), -(-chars // SHARD_CHARS)), "answers")
+    parts = -(-chars // TASK_CHARS)
+    answers = settle(_answer(_send(docs, order, bits), parts), "answers")
     words = answers.where(F.col("shard") % (order + 1) == 1).agg(F.sum("known"), F.sum("known_counted")).first()
-    met = _meet(docs, answers.select("block", "shard", "counted", "deleted"), order, -(-chars // (2 * BLOCK_BYTES)))
+    met = _meet(docs, answers.select("block", "shard", "counted", "deleted"), order, parts)
     trains = {r[0]: (r[1], r[2]) for r in met.groupBy("fold").agg(F.count("*"), F.sum("n_tokens")).collect()}
     size = lambda folds: tuple(float(sum(trains.get(f, (0, 0))[i] for f in folds)) for i in (0, 1))
     fit = [f for f in range(FOLDS) if f not in (HELD_OUT, DELETED)]
