@@ -157,6 +157,62 @@ def rctd_weights(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: floa
     return x
 
 
+#: Losses beyond the best pair's that still count as near it, and by which a lone type must lose for a doublet; weights that make a candidate.
+NEAR_PAIR, DOUBLET, CANDIDATE = 10.0, 25.0, 0.01
+
+
+def doublet(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float, classes: np.ndarray | None = None) -> tuple[str, int, int, float, float, float]:
+    """Whether a spot holds one type or two: its class, first and second type, the first one's weight, the pair's and the lone type's loss.
+
+    Candidates come from the fit of all types; every pair of them is fitted.  A
+    type is sure if all pairs near the best one hold it, or a type of its class
+    (``classes``; by default each type is its own).  Two sure types are a certain
+    doublet, one an uncertain one, none a reject; where the sure type alone does
+    nearly as well as the pair, the spot is a singlet.
+    """
+    k = signature.shape[1]
+    classes = np.arange(k) if classes is None else classes
+    counts = np.minimum(np.floor(y), 100)
+
+    def loss(types: list[int]) -> float:
+        s = signature[:, types]
+        x = rctd_weights(s, y, n_umi, sigma, rounds=25)
+        return poisson_lognormal_loss(counts, np.maximum(s @ np.maximum(x, 0) * n_umi, 1e-4), sigma)
+
+    found = np.flatnonzero(rctd_weights(signature, y, n_umi, sigma) > CANDIDATE).tolist()
+    if not found:
+        found = list(range(k))[1:3] if k > 2 else list(range(k))
+    elif len(found) == 1 and k > 1:
+        found.append(1 if found[0] == 0 else 0)
+    if len(found) < 2:
+        alone = loss(found)
+        return "singlet", found[0], found[0], 1.0, alone, alone
+    pairs = {(a, b): loss([a, b]) for i, a in enumerate(found) for b in found[i + 1 :]}
+    pair = min(pairs, key=pairs.__getitem__)
+    best = pairs[pair]
+    near = [p for p, v in pairs.items() if v < best + NEAR_PAIR]
+
+    def sure(t: int) -> tuple[bool, float]:
+        kin = {u for p in near for u in p if classes[u] == classes[t]}
+        every = all(classes[a] == classes[t] or classes[b] == classes[t] for a, b in near)
+        others = kin if every and not all(t in p for p in near) else set()
+        return every, min(loss([u]) for u in {t, *others})
+
+    (sure_a, alone_a), (sure_b, alone_b) = sure(pair[0]), sure(pair[1])
+    if sure_a and sure_b:
+        kind, alone = "doublet_certain", min(alone_a, alone_b)
+        swap = alone_b < alone_a
+    elif sure_a or sure_b:
+        kind, alone, swap = "doublet_uncertain", alone_a if sure_a else alone_b, sure_b
+    else:
+        kind, alone, swap = "reject", best + 2 * DOUBLET, False
+    if alone - best < DOUBLET:
+        kind = "singlet"
+    first, second = pair[::-1] if swap else pair
+    x = np.maximum(rctd_weights(signature[:, [first, second]], y, n_umi, sigma), 0)
+    return kind, first, second, float(x[0] / x.sum()) if x.sum() > 0 else 0.0, best, alone
+
+
 def assign_with_quota(score: np.ndarray, quota: np.ndarray) -> np.ndarray:
     """The type of each row of greatest total score with ``quota[k]`` rows of type k; ties go to the earlier row and type.
 

@@ -431,3 +431,9 @@ def rctd_pipeline(spark, d):
     """Supplier proportions with the platform's effect and the deviation fitted; a solver, so without SQL."""
     means, genes = _signature(spark, d, True), R.spot_counts(spark, d).select("gene").distinct()
     return rounded(deconv.rctd(R.spot_counts(spark, d), means, genes, genes), "value")
+
+
+@query()
+def rctd_doublet(spark, d):
+    """One type or two per supplier; a solver, so without SQL."""
+    return rounded(deconv.rctd_doublet(R.spot_counts(spark, d), _signature(spark, d, True)), "first_weight", "min_score", "singlet_score")

@@ -555,3 +555,27 @@ def test_small_checks(spark):
     base = points(spark, [(k, float(k), 0.0) for k in range(0, 120, 3)], "base_id")
     got = {(r[0], r[1]) for r in spatial.radius_join(wide, base, "r").collect()}
     assert got == {(i, k) for i, x in enumerate([0.2, 3.0, 100.0, 0.0]) for k in range(0, 120, 3) if k <= x}
+
+
+def test_doublets_and_singlets(spark):
+    rng = np.random.default_rng(9)
+    s = rng.gamma(0.4, 1.0, (50, 4)) + 0.02
+    s /= s.sum(0)
+    mix = [[1, 0, 0, 0], [0, 0, 1, 0], [0.5, 0.5, 0, 0], [0, 0.4, 0, 0.6], [0, 0, 0, 1]]
+    y = rng.poisson(np.array(mix) @ s.T * 800)
+    counts = spark.createDataFrame([(i, g, float(y[i, g])) for i in range(5) for g in range(50)], "obs long, gene long, value double")
+    means = spark.createDataFrame([(f"t{k}", g, float(s[g, k])) for g in range(50) for k in range(4)], "cell_type string, gene long, mean double")
+    got = {r["obs"]: r for r in deconv.rctd_doublet(counts, means, 0.1).collect()}
+    for i, m in enumerate(mix):
+        r, own = got[i], {f"t{k}" for k in range(4) if m[k]}
+        if len(own) == 1:
+            assert r["spot_class"] == "singlet" and r["first_type"] in own and r["first_weight"] > 0.8
+        else:
+            assert r["spot_class"] == "doublet_certain" and {r["first_type"], r["second_type"]} == own
+            assert r["first_weight"] == pytest.approx(m[int(r["first_type"][1])], abs=0.12) and r["singlet_score"] - r["min_score"] >= kernels.DOUBLET
+    # A type whose copy does as well isn't sure, but its class is.
+    twin = means.unionByName(means.where("cell_type = 't0'").withColumn("cell_type", F.lit("t0b")))
+    classes = spark.createDataFrame([("t0", "x"), ("t0b", "x")], "cell_type string, class string")
+    plain = deconv.rctd_doublet(counts.where("obs = 2"), twin, 0.1).first()
+    kin = deconv.rctd_doublet(counts.where("obs = 2"), twin, 0.1, classes).first()
+    assert plain["spot_class"] == "doublet_uncertain" and plain["first_type"] == "t1" and kin["spot_class"] == "doublet_certain"
