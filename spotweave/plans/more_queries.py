@@ -176,6 +176,13 @@ def constrained_assignment(spark, d):
     return annotate.constrained_assignment(scores(spark, d), in_spot(spark, d).select("cell_id", "spot_id"), quotas, R.TYPES)
 
 
+@query(f"SELECT spot_id, cell_type, quota AS n FROM ({QUOTAS}) WHERE quota > 0")
+def assignment_counts(spark, d):
+    """How many cells of each type the exact assignment puts into each spot: its quotas."""
+    out = constrained_assignment(spark, d).where("spot_id is not null")
+    return out.groupBy("spot_id", F.col("pred_cell_type").alias("cell_type")).agg(F.count("*").alias("n"))
+
+
 # --- prediction ------------------------------------------------------------------
 
 SPLIT = f"""WITH p AS (SELECT spot_id, cell_type, value AS beta FROM ({M}) WHERE method = 'quantity'),
@@ -401,6 +408,24 @@ def annotator(spark, d):
     return annotate.annotate_cells(segments, R.spots(spark, d), spot_ratios, points, ratios, R.SPOT_RADIUS, 8.0, R.TYPES, alpha=0.3)
 
 
+NEAREST = f"SELECT c.cell_id, s.spot_id FROM ({C}) c JOIN ({S}) s ON sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) <= {R.SPOT_RADIUS} QUALIFY row_number() OVER (PARTITION BY c.cell_id ORDER BY sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), s.spot_id) = 1"
+SPOT_QUOTAS = _quota_sql(f"SELECT spot_id, cell_type, total, coalesce(value, 0) AS value FROM (SELECT spot_id, count(*) AS total FROM ({NEAREST}) GROUP BY 1) CROSS JOIN (SELECT DISTINCT cell_type FROM ({C})) LEFT JOIN (SELECT spot_id, cell_type, value FROM ({SHARES})) USING (spot_id, cell_type)", "spot_id")
+TOTALS = _quota_sql(f"SELECT 1 AS g, cell_type, (SELECT count(*) FROM ({C})) AS total, CAST(sum(quota) AS DOUBLE) AS value FROM ({SPOT_QUOTAS}) GROUP BY 2", "g")
+
+
+@query(f"SELECT cell_type, quota AS n FROM ({TOTALS}) WHERE quota > 0")
+def annotator_totals(spark, d):
+    """How many cells the annotator gives each type: the global quotas."""
+    return annotator(spark, d).groupBy(F.col("pred_cell_type").alias("cell_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT spot_id, cell_type, quota AS n FROM ({SPOT_QUOTAS}) WHERE quota > 0")
+def annotator_spots(spark, d):
+    """How many cells of each type the annotator puts into each spot: the spots' quotas."""
+    out = annotator(spark, d).where("spot_id is not null")
+    return out.groupBy("spot_id", F.col("pred_cell_type").alias("cell_type")).agg(F.count("*").alias("n"))
+
+
 @query()
 def predictor(spark, d):
     """The whole predictor: split, labels, fallback radius, Delaunay graph, diffusion by type; iterative, so without SQL."""
