@@ -97,15 +97,14 @@ def tile_grid(spark, d):
 
 # --- matrices ----------------------------------------------------------------
 
-SC, RC, RL = R.SPOT_COUNTS_SQL, R.REF_COUNTS_SQL, R.REF_LABELS_SQL
+SC, PC, RC, RL = R.SPOT_COUNTS_SQL, R.PART_COUNTS_SQL, R.REF_COUNTS_SQL, R.REF_LABELS_SQL
 
 
-@query("""WITH s AS (SELECT l_suppkey AS obs, l_partkey AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2) SELECT obs, gene, value FROM s WHERE gene IN (SELECT user_id FROM events)""")
+@query(f"""SELECT obs, gene, value FROM ({PC}) WHERE gene IN (SELECT user_id FROM events)""")
 def gene_align(spark, d):
     """Parts as genes in the suppliers' lines, users as genes in the events: those that both tables hold."""
-    lines = R.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("obs"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
     events = R.table(spark, d, "events").select(F.col("event_id").alias("obs"), F.col("user_id").alias("gene"), "value")
-    return matrix.gene_align(lines, events)[0].select("obs", "gene", "value")
+    return matrix.gene_align(R.part_counts(spark, d), events)[0].select("obs", "gene", "value")
 
 
 @query(f"""WITH v AS (SELECT obs, gene, greatest(value, 0) AS v FROM ({R.VECTORS_SQL})), t AS (SELECT obs, sum(v) AS s FROM v GROUP BY 1)
@@ -138,17 +137,17 @@ def umi_filter(spark, d):
     return matrix.umi_filter(R.ref_counts(spark, d))
 
 
-@query(f"SELECT gene, sum(value) AS total, count(*) FILTER (value <> 0) AS n_obs FROM ({SC}) GROUP BY 1")
+@query(f"SELECT gene, sum(value) AS total, count(*) FILTER (value <> 0) AS n_obs FROM ({PC}) GROUP BY 1")
 def bulk_vector(spark, d):
-    return matrix.bulk_vector(R.spot_counts(spark, d))
+    return matrix.bulk_vector(R.part_counts(spark, d))
 
 
 LN = lambda sql: f"SELECT obs, gene, ln(1 + value / sum(value) OVER (PARTITION BY obs) * 1e4) AS value FROM ({sql})"
 
 
-@query(f"SELECT obs, gene, round(value, 6) AS value FROM ({LN(SC)})")
+@query(f"SELECT obs, gene, round(value, 6) AS value FROM ({LN(PC)})")
 def log_normalize(spark, d):
-    return rounded(matrix.log_normalize(R.spot_counts(spark, d)), "value").select("obs", "gene", "value")
+    return rounded(matrix.log_normalize(R.part_counts(spark, d)), "value").select("obs", "gene", "value")
 
 
 MEANS = lambda counts: f"SELECT cell_type, gene, sum(value) / any_value(n) AS mean FROM ({counts}) JOIN ({RL}) USING (obs) JOIN (SELECT cell_type, count(*) AS n FROM ({RL}) GROUP BY 1) USING (cell_type) GROUP BY 1, 2"
@@ -222,7 +221,7 @@ def hvg_topk(spark, d):
 # --- statistics ----------------------------------------------------------------
 
 TARGET = "SELECT s_suppkey AS obs, s_acctbal AS target FROM supplier"
-PEARSON = f"""SELECT gene, any_value(n) AS n, round(corr(coalesce(value, 0), target), 6) AS r FROM (SELECT DISTINCT gene FROM ({SC})) g CROSS JOIN ({TARGET}) t LEFT JOIN ({SC}) c USING (obs, gene), (SELECT count(*) AS n FROM supplier) GROUP BY 1"""
+PEARSON = f"""SELECT gene, any_value(n) AS n, round(corr(coalesce(value, 0), target), 6) AS r FROM (SELECT DISTINCT gene FROM ({PC})) g CROSS JOIN ({TARGET}) t LEFT JOIN ({PC}) c USING (obs, gene), (SELECT count(*) AS n FROM supplier) GROUP BY 1"""
 
 
 def _target(spark, d):
@@ -231,20 +230,20 @@ def _target(spark, d):
 
 @query(PEARSON)
 def pearson_by_gene(spark, d):
-    return rounded(stats.pearson_by_gene(R.spot_counts(spark, d), _target(spark, d)), "r")
+    return rounded(stats.pearson_by_gene(R.part_counts(spark, d), _target(spark, d)), "r")
 
 
-@query(f"""WITH f AS (SELECT gene, obs, coalesce(value, 0) AS value, target FROM (SELECT DISTINCT gene FROM ({SC})) g CROSS JOIN ({TARGET}) t LEFT JOIN ({SC}) c USING (obs, gene)),
+@query(f"""WITH f AS (SELECT gene, obs, coalesce(value, 0) AS value, target FROM (SELECT DISTINCT gene FROM ({PC})) g CROSS JOIN ({TARGET}) t LEFT JOIN ({PC}) c USING (obs, gene)),
 r AS (SELECT gene, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2 AS rv, rank() OVER (PARTITION BY gene ORDER BY target) + (count(*) OVER (PARTITION BY gene, target) - 1) / 2 AS rt FROM f)
 SELECT gene, count(*) AS n, round(corr(rv, rt), 6) AS r FROM r GROUP BY 1""")
 def spearman_by_gene(spark, d):
-    return rounded(stats.spearman_by_gene(R.spot_counts(spark, d), _target(spark, d)), "r")
+    return rounded(stats.spearman_by_gene(R.part_counts(spark, d), _target(spark, d)), "r")
 
 
 @query()
 def correlation_significance(spark, d):
     """gene, r, p and adjusted p, the strongest first; its p needs Student's t, which SQL lacks."""
-    r = stats.pearson_by_gene(R.spot_counts(spark, d), _target(spark, d)).withColumn("p", stats.correlation_p("r", "n"))
+    r = stats.pearson_by_gene(R.part_counts(spark, d), _target(spark, d)).withColumn("p", stats.correlation_p("r", "n"))
     return rounded(stats.benjamini_hochberg(r), "r", "p", "p_adjust").orderBy(F.desc("r"), "gene")
 
 

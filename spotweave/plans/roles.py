@@ -41,6 +41,15 @@ def spot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPOT_COUNTS_SQL = "SELECT l_suppkey AS obs, l_partkey % 50 AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2"
 
 
+def part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """obs, gene, value: quantity per supplier and part, whose number grows with the input."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("obs"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
+
+
+PART_COUNTS_SQL = "SELECT l_suppkey AS obs, l_partkey AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2"
+
+
 def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """obs, gene, value: quantity per order and part class."""
     li = table(spark, sf_dir, "lineitem")
