@@ -233,7 +233,7 @@ class WordBpe:
         starts, ends = starts[word], ends[word]
         joined = GAP.join(texts)
         numbers = self.cache.look_up(
-            T.span_hashes(point_hashes()[data], starts, ends),
+            T.span_hashes(data, starts, ends, point_hashes()),
             lambda i: joined[starts[i] : ends[i]].encode(),
             lambda found, ids, at: [" ".join(self.table.tokens[j] for j in ids[at[k] : at[k + 1]].tolist()) for k in range(len(found))],
         )

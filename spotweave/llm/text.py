@@ -55,33 +55,37 @@ def powers(base: int, n: int) -> np.ndarray:
     return held
 
 
-class _Spans:
-    """Hashes of spans of ``values``: the sum of a span's values times the base's powers, moved back to the span's start by the inverse's."""
-
-    def __init__(self, values: np.ndarray, starts: np.ndarray, base: int = _BASE):
-        n = len(values)
-        self.total = np.zeros(n + 1, U64)
-        np.cumsum(values * powers(base, n + 1)[:n], out=self.total[1:])
-        self.starts, self.back = starts, powers(pow(base, -1, 1 << 64), n + 1)[starts]
-
-    def to(self, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.total[ends] - self.total[self.starts]) * self.back + (ends - self.starts).astype(U64))
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hashes(values: np.ndarray, starts: np.ndarray, cuts: list[np.ndarray], base: int = _BASE, table: np.ndarray | None = None) -> list[np.ndarray]:
+    """Hashes of the spans from ``starts`` to each of ``cuts`` (the first of which are the furthest) over ``values``, or over what ``table`` holds for them.
+
+    A span's hash is the sum of its values times the base's powers, moved back to
+    the span's start by the inverse's.  Where spans are in order, long values are
+    taken in pieces of ``SLICE_BYTES``, which bounds the tables and the memory.
+    """
+    far = cuts[0]
+    if len(values) > SLICE_BYTES and len(starts) > 1 and (starts[1:] >= starts[:-1]).all() and (far[1:] >= far[:-1]).all():
+        parts, i = [], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(far, starts[i] + SLICE_BYTES, "right")))
+            low = starts[i]
+            parts.append(_hashes(values[low : far[j - 1]], starts[i:j] - low, [c[i:j] - low for c in cuts], base, table))
+            i = j
+        return [np.concatenate(p) for p in zip(*parts)]
+    n = len(values)
+    total = np.zeros(n + 1, U64)
+    np.cumsum((values if table is None else table[values]) * powers(base, n + 1)[:n], out=total[1:])
+    back = powers(pow(base, -1, 1 << 64), n + 1)[starts]
+    return [mix64((total[c] - total[starts]) * back + (c - starts).astype(U64)) for c in cuts]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each span of ``values``, whatever its place and whatever the worker hashed before."""
-    return _Spans(values, starts).to(ends)
+    return _hashes(values, starts, [ends], table=table)[0]
 
 
 def second_span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64 more bits that don't follow from ``span_hashes``."""
-    return _Spans(mix64(values), starts, _BASE2).to(ends)
-
-
-def prefix_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    """``span_hashes`` of each span, then of its first ``length`` values for each length (all of a shorter one)."""
-    spans = _Spans(values, starts)
-    return [spans.to(e) for e in (ends, *(np.minimum(ends, starts + k) for k in lengths))]
+    return _hashes(mix64(values), starts, [ends], _BASE2)[0]
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -113,11 +117,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTES[data], starts, ends)
+    return span_hashes(data, starts, ends, _BYTES)
 
 
 def word_and_prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    return prefix_hashes(_BYTES[data], starts, ends, lengths)
+    """``word_hashes``, then those of the words' first ``length`` bytes for each length (all of a shorter one)."""
+    return _hashes(data, starts, [ends, *(np.minimum(ends, starts + k) for k in lengths)], table=_BYTES)
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -31,6 +31,20 @@ def test_equal_spans_have_equal_hashes_wherever_they_are():
         assert got[0] == got[1] == got[2] and len(set(got.tolist())) == 3
 
 
+def test_long_values_are_hashed_in_pieces(monkeypatch):
+    data = np.frombuffer(("Some words, " * 300).encode(), np.uint8)
+    starts, ends, _ = T.words(data, np.array([0, len(data)]))
+    h = T.mix64(np.arange(500, dtype=np.uint64) % 7)
+    at = np.arange(460)
+    want = [T.word_hashes(data, starts, ends), *T.word_and_prefix_hashes(data, starts, ends, (2, 4)), T.span_hashes(h, at, at + 40), T.second_span_hashes(h, at, at + 40)]
+    for size in (50, 7, 1):
+        monkeypatch.setattr(T, "SLICE_BYTES", size)
+        T._powers.clear()
+        got = [T.word_hashes(data, starts, ends), *T.word_and_prefix_hashes(data, starts, ends, (2, 4)), T.span_hashes(h, at, at + 40), T.second_span_hashes(h, at, at + 40)]
+        assert all(np.array_equal(a, b) for a, b in zip(want, got)) and max(map(len, T._powers.values())) <= 60
+    T._powers.clear()
+
+
 def orders(rows):
     """The rows with the long text first, in the middle and last."""
     return [rows[:k] + [(99, LONG)] + rows[k:] for k in (0, len(rows) // 2, len(rows))]
