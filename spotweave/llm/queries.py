@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language_model, mtree, packing, pii, simhash, spelling, suffix_dedup, toxicity, url_filter
+from . import alignment, bpe, jaccard, language_model, mtree, packing, pii, simhash, spelling, suffix_dedup, toxicity, url_filter
 from .store import table
 
 #: The configured URL rules: host, path, action.
@@ -76,6 +76,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_encode_decode": op8_bpe_encode_decode,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_token_alignment": op11_token_alignment,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
