@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, jaccard, language_model, mtree, packing, pii, simhash, spelling, suffix_dedup, toxicity, url_filter
+from . import alignment, bpe, jaccard, language_model, mtree, packing, pii, simhash, spelling, substring_dedup, suffix_dedup, toxicity, url_filter
 from .store import table
 
 #: The configured URL rules: host, path, action.
@@ -80,6 +80,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scoring": op9_lm_scoring,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_token_alignment": op11_token_alignment,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
