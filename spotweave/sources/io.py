@@ -53,8 +53,8 @@ def cached(folder: str, inputs: list[DataFrame], params: dict, build: Callable[[
     return spark.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: loops stay short plans, and a lost executor costs nothing."""
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written to the shared folder (in folders of equal ``by``) and read back: loops stay short plans, and a lost executor costs nothing."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -62,7 +62,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-cut-")
     path = f"{folder}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
