@@ -93,3 +93,30 @@ def test_words_typical_of_clean_texts_count_against(spark):
     assert len(got[1]["segments"]) == 1 and got[1]["score"] > got[2]["score"] and len(got) == 3
     kept = tox.without_toxic(df.withColumnRenamed("doc_id", "a.b"), model)
     assert kept.columns == ["a.b", "text"] and 350 <= kept.count() <= 450
+
+
+def test_texts_that_share_a_line_all_count_and_copies_once(spark):
+    """One boilerplate line holds the least shingle of all texts; near copies are told by their whole sets, against all pairs."""
+    import pandas as pd
+
+    r = random.Random(5)
+    line = [f"b{k}" for k in range(6)]
+    texts = [" ".join(r.choices([f"w{k}" for k in range(400)], k=40) + line) for _ in range(40)]
+    texts += [t + " tail" for t in texts[:7]] + texts[7:11] + ["", "", "a b", "a b", "b a"]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w := t.split()) > 4 else ({tuple(w)} if w else set()) for t in texts]
+    kept = []
+    for i in range(len(texts)):
+        if not any(not (sets[i] | sets[j]) or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in kept):
+            kept.append(i)
+    pdf = pd.DataFrame({"text": texts, "y": 1, "id": range(len(texts)), "h": 0}).sample(frac=1, random_state=1)
+    got = tox._without_copies(pdf)
+    assert sorted(got["text"]) == sorted(texts[i] for i in kept) and len(kept) == 43
+
+
+def test_scores_are_equal_for_any_partitioning(tables):
+    docs, labels = tables
+    runs = []
+    for n in (1, 7):
+        model = tox.train(docs.repartition(n), labels.repartition(n))
+        runs.append(sorted((str(r["doc_id"]), r["score"]) for r in tox.score_texts(docs, model).collect()))
+    assert runs[0] == runs[1]
