@@ -6,19 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from .operators import annotate, deconv, ensemble, interaction, predict
+from .operators import abundance, annotate, deconv, detect, ensemble, instances, interaction, predict, superres
 
 #: Backends take (spot counts, type means) and give obs, cell_type, value.
 _BACKENDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "nnls": deconv.nnls_deconv,
     "dwls": deconv.dwls_deconv,
     "rctd": deconv.rctd_full,
+    "cell2location": lambda counts, means: abundance.spatial_abundance(counts, means)[0].select("obs", "cell_type", F.col("q05").alias("value")),
 }
-#: Models that need trained networks or variational inference, which this engine doesn't run; their outputs are read as tables.
+#: Networks whose weights this engine doesn't have; their outputs are read as tables.
 _OUTSIDE = {
-    "cell2location": "needs variational training: pass its proportions as a table to ensemble.endecon",
-    "cellvit": "needs network weights and an imaging library: pass its instances as a table to detect.instance_records",
-    "superres": "needs image features: pass its proportions per grid point as a table to annotate.segment_scores",
+    "cellvit": "needs network weights: pass its prediction maps to detect_cells",
+    "dinov2": "needs network weights: pass its features to superres_celltype",
 }
 
 
@@ -92,9 +92,17 @@ def spatial_enrichment(sets: DataFrame, hits: DataFrame, universe: int) -> DataF
     return overlap_test(sets, hits, universe)
 
 
-def detect_cells(*_, **__):
-    raise RuntimeError(f"cellvit: {_OUTSIDE['cellvit']}")
+def detect_cells(tiles: DataFrame, tile: int = 256, overlap: int = 64, least: int = 10) -> DataFrame:
+    """Cells of all tiles' prediction maps (as ``instances_from_maps`` takes them), in global coordinates, each once.
+
+    cell_id follows from the tile and the instance's number in it.
+    """
+    found = instances.instances_from_maps(tiles, least).withColumn("cell_id", F.xxhash64("patch_row", "patch_col", "instance"))
+    kept = detect.edge_filter(detect.instance_records(found, tile, overlap))
+    boxes = kept.select("cell_id", "rmin", "cmin", "rmax", "cmax")
+    return kept.join(detect.overlap_dedup(boxes).select("cell_id"), "cell_id", "left_semi")
 
 
-def superres_celltype(*_, **__):
-    raise RuntimeError(f"superres: {_OUTSIDE['superres']}")
+def superres_celltype(features: DataFrame, labels: DataFrame, points: DataFrame, **training) -> DataFrame:
+    """Shares of each type at ``points`` (point_id, vector), learned from spots' ``features`` and ``labels``; see ``superres.fit_head``."""
+    return superres.predict_shares(points, superres.fit_head(features, labels, **training))

@@ -46,8 +46,12 @@ def _touch(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _moves(edges: DataFrame, nodes: DataFrame, resolution: float, whole: float, seed: int) -> DataFrame:
-    """``nodes`` (node, own, strength, loop) after moves between communities until none gains."""
-    best, share, turn, kept, proposed = None, 0.5, 0, nodes, None
+    """``nodes`` (node, own, strength, loop) after moves between communities until none gains.
+
+    A round moves nodes to lower-named communities only, or to higher-named ones
+    if more want that, so no two change places.
+    """
+    best, share, turn, kept, proposed, lower, wanted = None, 1.0, 0, nodes, None, True, 0
     loops = nodes.agg(F.sum("loop")).first()[0] or 0.0
     while True:
         state = cut_lineage(_touch(edges, nodes))
@@ -57,19 +61,22 @@ def _moves(edges: DataFrame, nodes: DataFrame, resolution: float, whole: float,
         if best is not None and now <= best + EPS:
             if share == 0.0:  # not even the best move gains
                 return kept
-            share = share / 2 if share > 1e-3 else 0.0
+            share = share / 2 if share * wanted > 2 else 0.0
         else:
             best, kept = now, nodes
-            here = state.where("c = own").join(totals, "c").select("node", (F.col("w") - resolution * F.col("strength") * (F.col("total") - F.col("strength")) / whole).alias("stay"))
+            here = state.where("c = own").join(totals, "c").select("node", "own", (F.col("w") - resolution * F.col("strength") * (F.col("total") - F.col("strength")) / whole).alias("stay"))
             there = state.where("c <> own").join(totals, "c").select("node", "c", (F.col("w") - resolution * F.col("strength") * F.col("total") / whole).alias("go"))
             choice = there.groupBy("node").agg(F.max(F.struct("go", (-F.col("c")).alias("c"))).alias("x")).join(here, "node")
             gain = F.col("x.go") - F.col("stay")
-            proposed = cut_lineage(choice.select("node", (-F.col("x.c")).alias("c"), gain.alias("gain")).where(F.col("gain") > EPS * whole))
-            if not proposed.limit(1).count():
+            proposed = cut_lineage(choice.select("node", "own", (-F.col("x.c")).alias("c"), gain.alias("gain")).where(F.col("gain") > EPS * whole))
+            every, down = proposed.agg(F.count("*"), F.count(F.when(F.col("c") < F.col("own"), 1))).first()
+            if not every:
                 return kept
-            share = share or 0.5
+            lower, wanted = 2 * down >= every, max(down, every - down)
+            share = min(1.0, share * 2) or 0.5
         turn += 1
-        movers = proposed.orderBy(F.desc("gain"), "node").limit(1) if share == 0.0 else proposed.where(_coin(seed, turn) < share)
+        way = F.col("c") < F.col("own") if lower else F.col("c") > F.col("own")
+        movers = proposed.orderBy(F.desc("gain"), "node").limit(1) if share == 0.0 else proposed.where(way & (_coin(seed, turn) < share))
         nodes = cut_lineage(kept.join(movers.select("node", "c"), "node", "left").select("node", F.coalesce("c", "own").alias("own"), "strength", "loop"))
 
 
@@ -84,7 +91,7 @@ def _refined(edges: DataFrame, nodes: DataFrame, resolution: float, whole: float
     inner = cut_lineage(inner)
     parts = nodes.select("node", "own", "strength", F.col("node").alias("part"))
     quiet, turn = 0, 0
-    while quiet < 4:
+    while quiet < 2:
         turn += 1
         sizes = parts.groupBy("part").agg(F.count("*").alias("size"), F.sum("strength").alias("total"))
         flag = parts.join(sizes, "part").withColumn("mover", (F.col("size") == 1) & (_coin(seed, 1000 + turn) < 0.5))
@@ -169,3 +176,32 @@ def _numbered(labels: DataFrame) -> DataFrame:
     ranked = with_global_rank(sizes, "label", "rank").withColumn("key", -F.col("size").cast("double") + F.col("rank") / (2.0 * sizes.count() + 2))
     ranked = with_global_rank(ranked, "key", "cluster").select("label", (F.col("cluster") - 1).cast("bigint").alias("cluster"))
     return labels.join(ranked, "label").select("node", "cluster")
+
+
+def cluster_observations(counts: DataFrame, top: int = 2000, n_components: int = 10, n_neighbors: int = 15, resolution: float = 0.4, seed: int = 0) -> DataFrame:
+    """obs, cluster (from 0, by falling size): communities of the fuzzy neighbour graph of log-normalised counts.
+
+    ``counts``: obs, gene, value; the ``top`` genes by normalised dispersion give
+    ``n_components`` principal components; ``n_neighbors`` counts the point
+    itself.  Observations without any of these genes have no cluster.
+    """
+    from . import embed, matrix
+
+    log = cut_lineage(matrix.log_normalize(counts))
+    genes = matrix.highly_variable_genes(log, log.select("obs").distinct().count(), top).select("gene")
+    scores, _, _ = embed.pca(log.join(genes, "gene", "left_semi"), n_components)
+    scores = cut_lineage(scores)
+    near = cut_lineage(embed.nearest(scores, n_neighbors - 1))
+    graph = cut_lineage(embed.fuzzy_graph(near.select("obs", "neighbor", "distance"), n_neighbors))
+    names = scores.select("obs", _node(scores).alias("node"))
+    if names.select(F.countDistinct("node") < F.count("*")).first()[0]:
+        raise ValueError("observations repeat, or two of them share a hash")
+    a, b = names.select(F.col("obs").alias("src"), F.col("node").alias("a")), names.select(F.col("obs").alias("dst"), F.col("node").alias("b"))
+    edges = graph.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
+    return leiden(edges, names.select("node"), resolution, seed).join(names, "node").select("obs", "cluster")
+
+
+def _node(rows: DataFrame) -> Column:
+    """An integer for each observation: itself, or its hash."""
+    whole = rows.schema["obs"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.col("obs").cast("bigint") if whole else F.xxhash64("obs")

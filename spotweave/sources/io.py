@@ -66,6 +66,11 @@ def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over all of the session's shuffle partitions, for work that is heavy though its rows are few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def small_pandas(df: DataFrame, most: int, what: str):
     """``df`` on the driver, if it has no more than ``most`` rows."""
     if df.limit(most + 1).count() > most:

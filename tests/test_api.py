@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from spotweave import api
@@ -5,23 +6,44 @@ from spotweave.streaming import tiles
 
 
 def test_registry_and_outside_models():
-    assert {"nnls", "dwls", "rctd"} <= set(api.list_available_backends())
-    assert api.get_backend_error("nnls") is None and "variational" in api.get_backend_error("cell2location")
-    with pytest.raises(RuntimeError):
-        api.detect_cells()
+    assert {"nnls", "dwls", "rctd", "cell2location"} <= set(api.list_available_backends())
+    assert api.get_backend_error("nnls") is None and "weights" in api.get_backend_error("cellvit")
+    assert "no backend" in api.get_backend_error("tape")
 
 
 def test_deconvolution_collects_errors_and_weighs_methods(spark):
     counts = spark.createDataFrame([(s, g, float(1 + (s * g) % 5)) for s in range(4) for g in range(6)], "obs long, gene int, value double")
     means = spark.createDataFrame([(t, g, float(1 + (i + 1) * g % 4)) for i, t in enumerate("ab") for g in range(6)], "cell_type string, gene int, mean double")
-    out, weights, errors = api.deconv_celltype(counts, means, ["nnls", "dwls", "cell2location"])
-    assert set(weights) == {"nnls", "dwls"} and set(errors) == {"cell2location"}
+    out, weights, errors = api.deconv_celltype(counts, means, ["nnls", "dwls", "cellvit"])
+    assert set(weights) == {"nnls", "dwls"} and set(errors) == {"cellvit"}
     per = {}
     for r in out.collect():
         per[r["spot_id"]] = per.get(r["spot_id"], 0) + r["value"]
     assert len(per) == 4 and all(abs(v - 1) < 1e-9 or v == 0 for v in per.values())
     with pytest.raises(RuntimeError):
-        api.deconv_celltype(counts, means, ["cell2location"])
+        api.deconv_celltype(counts, means, ["cellvit"])
+    alone, _, _ = api.deconv_celltype(counts, means, ["cell2location"])
+    assert {r["spot_id"] for r in alone.collect()} == {0, 1, 2, 3} and all(r["value"] >= 0 for r in alone.collect())
+
+
+def test_cells_are_detected_from_maps_and_points_get_shares(spark):
+    r, c = np.mgrid[:64, :64]
+    tiles, inside = [], {}
+    for col in (1, 2):  # tiles start every 48; one disc lies in the overlap of both, one in each middle
+        x0 = (col - 1) * 48
+        centres = [(30.0, 28.0), (30.0, 56.0), (30.0, 84.0)]
+        far = np.array([np.hypot(r - y, c + x0 - x) for y, x in centres])
+        own, near = far.argmin(0), far.min(0) <= 6
+        dx, dy = c + x0 - np.array(centres)[own, 1], r - np.array(centres)[own, 0]
+        maps = [near * 0.9, np.where(near, dx / 6, 0.0), np.where(near, dy / 6, 0.0)]
+        tiles.append((1, col, 64, 64, *[[float(v) for v in m.ravel()] for m in maps], [int(v) for v in near.ravel()]))
+    df = spark.createDataFrame(tiles, "patch_row long, patch_col long, height int, width int, prob array<double>, across array<double>, down array<double>, kind array<int>")
+    got = sorted((round(x["centroid_x"]), round(x["centroid_y"])) for x in api.detect_cells(df, 64, 16).collect())
+    assert got == [(28, 30), (56, 30), (84, 30)]
+    features = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(20)], "point_id long, vector array<double>")
+    labels = spark.createDataFrame([(i, "ab"[i % 2], 1.0) for i in range(20)], "point_id long, cell_type string, value double")
+    out = api.superres_celltype(features, labels, features, hidden=4, epochs=3, rate=0.1)
+    assert out.count() == 40
 
 
 def test_stream_of_tiles(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions import kernels
 from spotweave.operators import annotate, deconv, detect, ensemble, matrix, predict, spatial, stats
-from spotweave.plans import more_queries, queries, roles
+from spotweave.plans import model_queries, more_queries, queries, roles
 from spotweave.sources import io
 
 SF = "/root/testdata/sf0.001"

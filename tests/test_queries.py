@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from spotweave.plans import more_queries, queries  # noqa: F401
+from spotweave.plans import model_queries, more_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
