@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import kernels
 from ..sources.io import cut_lineage, small_pandas
-from . import spatial
+from . import assign, spatial
 
 #: The detector's classes and the names under which priors know them.
 MORPHOLOGY = {0: "nolabel", 1: "Neoplastic cells", 2: "Inflammatory", 3: "Connective/Soft tissue cells", 4: "Dead Cells", 5: "Epithelial"}
 DROPPED = ("nolabel", "Dead Cells")
-#: Types by morphologies that the driver solves, and cells outside all spots that one task assigns.
-TRANSFER_CELLS, REST_CELLS = 10_000, 20_000
+#: Types by morphologies that the driver solves.
+TRANSFER_CELLS = 10_000
 
 
 def morphology_types(cells: DataFrame, code: str = "img_type") -> DataFrame:
@@ -96,9 +96,9 @@ def constrained_assignment(scores: DataFrame, membership: DataFrame, quotas: Dat
 
     Spots that share no cell are independent, so each is solved exactly on its
     own: a group is one spot's cells.  ``totals`` (cell_type, quota) bind all
-    cells: those of no spot then share what the spots leave, exactly up to
-    ``REST_CELLS`` of them, and in even blocks of so many beyond; without
-    ``totals`` they take their best type.
+    cells: those of no spot then share what the spots leave, at the greatest
+    total score however many they are; without ``totals`` they take their best
+    type.
     ``scores``: cell_id, cell_type, score (absent ones are 0); ``membership``:
     cell_id, spot_id (one spot per cell); ``quotas``: spot_id, cell_type, quota.
     Quotas that can't be met raise.
@@ -124,25 +124,18 @@ def constrained_assignment(scores: DataFrame, membership: DataFrame, quotas: Dat
         n = rest.count()
         if left.sum() != n:
             raise ValueError(f"the totals leave {left.sum()} places to {n} cells outside the spots")
-        blocks = max(1, -(-n // REST_CELLS))
-        dealt = rest.withColumn("block", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)))
-        sizes = dealt.groupBy("block").count().orderBy("block").collect()
-        places = kernels.deal_quotas(left, np.array([r["count"] for r in sizes], np.int64))
-        spark = membership.sparkSession
-        share = spark.createDataFrame([(r["block"], *map(int, p)) for r, p in zip(sizes, places)], "block bigint, " + ", ".join(f"{c} bigint" for c in q))
-        outside = dealt.join(share, "block").select(F.lit(None).cast(kind[1]).alias("spot_id"), "cell_id", *s, *q, "block")
-        inside = inside.select("spot_id", "cell_id", *s, *q, F.lit(None).cast("bigint").alias("block")).unionByName(outside)
-    else:
-        inside = inside.withColumn("block", F.lit(None).cast("bigint"))
+        placed = assign.assign(rest, s, left) if n else None
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("cell_id")
         at = kernels.assign_with_quota(g[s].to_numpy(float), g[q].iloc[0].to_numpy(int))
         return pd.DataFrame({"cell_id": g["cell_id"], "pred_cell_type": [types[i] for i in at], "spot_id": g["spot_id"]})
 
-    solved = inside.groupBy("spot_id", "block").applyInPandas(solve, f"cell_id {kind[0]}, pred_cell_type string, spot_id {kind[1]}")
+    inside = inside.select("spot_id", "cell_id", *s, *q)
+    solved = inside.groupBy("spot_id").applyInPandas(solve, f"cell_id {kind[0]}, pred_cell_type string, spot_id {kind[1]}")
     if totals is not None:
-        return solved
+        name = F.array(*[F.lit(t) for t in types])
+        return solved if placed is None else solved.unionByName(placed.select("cell_id", name[F.col("at")].alias("pred_cell_type"), F.lit(None).cast(kind[1]).alias("spot_id")))
     best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(len(types))]))["i"]
     rest = rest.select("cell_id", F.array(*[F.lit(t) for t in types])[-best].alias("pred_cell_type"), F.lit(None).cast(kind[1]).alias("spot_id"))
     return solved.unionByName(rest)
