@@ -24,15 +24,15 @@ Without labelled rows of both classes every text has the same score below one ha
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
-from .store import map_rows, settle
+from .store import map_rows, parallelism, settle
 
 #: Labelled documents learnt from at most, the least by a hash of their id (12 bytes each are broadcast).
 TRAIN_ROWS = 200_000
@@ -134,30 +134,51 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def _without_copies(texts: pd.DataFrame) -> pd.DataFrame:
-    """The texts of one class and one least shingle that no text before them, by (id, text), is a copy of: ``SIMILAR`` of the shingles of both.
+def _first_copies(texts: pa.Array) -> list[int]:
+    """The places of the texts that none before them is a copy of: ``SIMILAR`` of the shingles of both in common.
 
     A place list per shingle finds how many each kept text shares.
     """
-    texts = texts.sort_values(["id", "text"])
     places: dict[int, list[int]] = {}
     sizes: list[int] = []
     keep = []
-    column = pa.array(texts["text"], pa.string())
-    for held in (s for _, _, data, offsets in T.text_slices(column) for s in T.shingle_sets(data, offsets, SHINGLE)):
+    for i, held in enumerate(s for _, _, data, offsets in T.text_slices(texts) for s in T.shingle_sets(data, offsets, SHINGLE)):
         shingles = held.tolist()
-        near = [places[s] for s in shingles if s in places]
-        if near:
-            shared = np.bincount(np.concatenate(near), minlength=len(sizes))
-            copy = bool((shared >= SIMILAR * (np.array(sizes) + len(shingles) - shared)).any())
-        else:
-            copy = not shingles and 0 in sizes
-        keep.append(not copy)
-        if not copy:
-            for s in shingles:
-                places.setdefault(s, []).append(len(sizes))
-            sizes.append(len(shingles))
-    return texts[keep][["h", "y", "text"]]
+        near = np.fromiter(itertools.chain.from_iterable(map(places.get, shingles, itertools.repeat(()))), np.int64)
+        if len(near):
+            shared = np.bincount(near, minlength=len(sizes))
+            if (shared >= SIMILAR * (np.array(sizes) + len(shingles) - shared)).any():
+                continue
+        elif not shingles and 0 in sizes:
+            continue
+        for s in shingles:
+            places.setdefault(s, []).append(len(sizes))
+        sizes.append(len(shingles))
+        keep.append(i)
+    return keep
+
+
+def _without_copies(batches):
+    """Of rows (h, y, id, text), sorted, those that aren't copies of one before them with the same h and y; most are alone with theirs."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        rows = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks().to_batches() if held is not None or batch is not None else []
+        rows, held = (rows[0] if rows else None), None
+        if rows is None:
+            continue
+        h, y = (rows.column(k).to_numpy() for k in (0, 1))
+        cut = np.append(0, np.flatnonzero((h[1:] != h[:-1]) | (y[1:] != y[:-1])) + 1)
+        if batch is not None:  # the last run may go on
+            held = rows.slice(int(cut[-1]))
+            rows, cut = rows.slice(0, int(cut[-1])), cut[:-1]
+        if not rows.num_rows:
+            continue
+        size = np.diff(np.append(cut, rows.num_rows))
+        keep = [cut[size == 1]]
+        for a, n in zip(cut[size > 1].tolist(), size[size > 1].tolist()):
+            keep.append(a + np.array(_first_copies(rows.column(3).slice(a, n)), np.int64))
+        take = pa.array(np.sort(np.concatenate(keep)))
+        yield pa.RecordBatch.from_arrays([rows.column(k).take(take) for k in (0, 1, 3)], names=["h", "y", "text"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -174,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("y") > 0).cast("int").alias("y"), "id").mapInArrow(sketch, f"text string, y int, id {kind}, h bigint")
-    texts = texts.groupBy("h", "y").applyInPandas(_without_copies, "h bigint, y int, text string")
+    texts = texts.select("h", "y", "id", "text").repartition(parallelism(docs.sparkSession), "h", "y").sortWithinPartitions("h", "y", "id", "text").mapInArrow(_without_copies, "h bigint, y int, text string")
     texts = settle(texts.select("text", "y", (F.pmod(F.xxhash64("h", F.lit(5)), F.lit(5)) == 0).alias("apart")), "labelled")
 
     def count(batches):

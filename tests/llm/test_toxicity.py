@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,8 +98,6 @@ def test_words_typical_of_clean_texts_count_against(spark):
 
 def test_texts_that_share_a_line_all_count_and_copies_once(spark):
     """One boilerplate line holds the least shingle of all texts; near copies are told by their whole sets, against all pairs."""
-    import pandas as pd
-
     r = random.Random(5)
     line = [f"b{k}" for k in range(6)]
     texts = [" ".join(r.choices([f"w{k}" for k in range(400)], k=40) + line) for _ in range(40)]
@@ -108,9 +107,11 @@ def test_texts_that_share_a_line_all_count_and_copies_once(spark):
     for i in range(len(texts)):
         if not any(not (sets[i] | sets[j]) or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in kept):
             kept.append(i)
-    pdf = pd.DataFrame({"text": texts, "y": 1, "id": range(len(texts)), "h": 0}).sample(frac=1, random_state=1)
-    got = tox._without_copies(pdf)
-    assert sorted(got["text"]) == sorted(texts[i] for i in kept) and len(kept) == 43
+    rows = [(0, 1, i, t) for i, t in enumerate(texts)] + [(0, 2, 0, texts[0]), (1, 2, 1, texts[0]), (1, 2, 2, texts[0])]
+    for step in (1, 7, 1000):  # batches that end anywhere in a run
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + step])], names=["h", "y", "id", "text"]) for a in range(0, len(rows), step)]
+        got = [x for b in tox._without_copies(iter(batches)) for x in b.column(2).to_pylist()]
+        assert got == [texts[i] for i in kept] + [texts[0]] * 2 and len(kept) == 43
 
 
 def test_scores_are_equal_for_any_partitioning(tables):
