@@ -589,3 +589,25 @@ def test_overlap_removal_of_a_long_chain_ends_with_no_pair(spark):
     left = detect.overlap_dedup(df)
     assert sorted(r["cell_id"] for r in left.collect()) == list(range(1, 90, 2))
     assert detect.overlap_pairs(left).count() == 0
+
+
+@pytest.mark.parametrize("far", [0.0, 1e8])
+def test_cells_at_one_place_are_linked_as_in_one_triangulation(spark, far):
+    """Ids that agree modulo a thousand, at one place, near the origin and far from it."""
+    rng = np.random.default_rng(8)
+    rows = [(k, far + 5.0, far + 5.0) for k in (0, 1000, 2000, 2**40, 2**62)] + [(10 + i, far + float(a), far + float(b)) for i, (a, b) in enumerate(rng.uniform(0, 10, (30, 2)))]
+    cells = spark.createDataFrame([(*r, "A") for r in rows], "cell_id long, x double, y double, cell_type string")
+    for tile, halo in ((40.0, 40.0), (4.0, 4.0)):
+        edges = {(r[0], r[1]) for r in predict.delaunay_graph(cells, tile, halo).select("src", "dst").collect()}
+        own = [r[0] for r in rows[:5]]
+        for a in own:  # connected with the others at the place
+            seen, todo = set(), [a]
+            while todo:
+                n = todo.pop()
+                if n not in seen:
+                    seen.add(n)
+                    todo += [b for b in own if (n, b) in edges or (b, n) in edges]
+            assert seen == set(own)
+        undirected = {tuple(sorted(e)) for e in edges}
+        assert tile == 40.0 or undirected == whole
+        whole = undirected
