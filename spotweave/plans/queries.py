@@ -126,10 +126,10 @@ def gene_qc_filter(spark, d):
     return rounded(matrix.gene_qc_filter(c, n, 5, 0.078, 25.8), "nonzero_mean")
 
 
-@query("SELECT l_orderkey AS obs FROM (SELECT l_orderkey, l_shipdate FROM lineitem WHERE l_linenumber = 1) WHERE l_shipdate IN (SELECT l_shipdate FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(*) >= 6)")
+@query("SELECT o_orderkey AS obs FROM orders WHERE o_orderdate IN (SELECT o_orderdate FROM orders GROUP BY 1 HAVING count(*) >= 6)")
 def drop_rare_types(spark, d):
-    li = R.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("obs"), F.col("l_shipdate").alias("cell_type"))
-    return matrix.drop_rare_types(li, 6).select("obs")
+    o = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("obs"), F.col("o_orderdate").alias("cell_type"))
+    return matrix.drop_rare_types(o, 6).select("obs")
 
 
 @query(f"SELECT obs, sum(value) AS n_umi FROM ({RC}) GROUP BY 1 HAVING sum(value) BETWEEN 100 AND 20000000")
@@ -196,10 +196,10 @@ DENSE = "SELECT obs, gene, abs(value) * 10 AS value FROM (" + R.VECTORS_SQL + ")
 
 @query(f"""WITH v AS ({DENSE}), n AS (SELECT count(DISTINCT obs) AS n FROM v), b AS (SELECT gene, log2(sum(exp(value) - 1) / any_value(n) + 1) AS base FROM v, n GROUP BY 1),
 f AS (SELECT obs, v.gene, value - base AS fold FROM v JOIN b USING (gene)), e AS (SELECT obs, avg(fold) AS ma, stddev_pop(fold) AS sa FROM f GROUP BY 1)
-SELECT obs, CAST(gene % 4 AS VARCHAR) AS cell_type, round((avg(fold) - any_value(ma)) * sqrt(count(*)) / any_value(sa), 6) AS z FROM f JOIN e USING (obs) WHERE gene % 5 <> 0 GROUP BY 1, 2""")
+SELECT obs, CAST(gene % 4 AS VARCHAR) AS cell_type, round((avg(fold) - any_value(ma)) * sqrt(count(*)) / any_value(sa), 6) AS z FROM f JOIN e USING (obs) GROUP BY 1, 2""")
 def page_enrichment(spark, d):
     v = R.vectors(spark, d).select("obs", "gene", (F.abs("value") * 10).alias("value"))
-    sig = v.select("gene").distinct().where("gene % 5 <> 0").withColumn("cell_type", (F.col("gene") % 4).cast("string"))
+    sig = v.select("gene").distinct().withColumn("cell_type", (F.col("gene") % 4).cast("string"))
     return rounded(matrix.page_enrichment(v, sig, v.select("obs").distinct().count()), "z")
 
 
