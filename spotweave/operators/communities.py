@@ -51,7 +51,7 @@ def _moves(edges: DataFrame, nodes: DataFrame, resolution: float, whole: float,
     A round moves nodes to lower-named communities only, or to higher-named ones
     if more want that, so no two change places.
     """
-    best, share, turn, kept, proposed, lower, wanted = None, 1.0, 0, nodes, None, True, 0
+    best, share, turn, kept, proposed, lower, wanted = None, 0.5, 0, nodes, None, True, 0
     loops = nodes.agg(F.sum("loop")).first()[0] or 0.0
     while True:
         state = cut_lineage(_touch(edges, nodes))
@@ -73,7 +73,7 @@ def _moves(edges: DataFrame, nodes: DataFrame, resolution: float, whole: float,
             if not every:
                 return kept
             lower, wanted = 2 * down >= every, max(down, every - down)
-            share = min(1.0, share * 2) or 0.5
+            share = min(0.5, share * 2) or 0.5
         turn += 1
         way = F.col("c") < F.col("own") if lower else F.col("c") > F.col("own")
         movers = proposed.orderBy(F.desc("gain"), "node").limit(1) if share == 0.0 else proposed.where(way & (_coin(seed, turn) < share))
@@ -140,9 +140,25 @@ def leiden(edges: DataFrame, nodes: DataFrame | None = None, resolution: float =
     whole = edges.agg(F.sum("w")).first()[0]
     if not whole:
         return _numbered(every.select("node", F.col("node").alias("label")))
-    original, labels = edges, every.select("node", F.col("node").alias("at"))
     strengths = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("strength"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
-    level = cut_lineage(every.join(strengths, "node", "left").select("node", F.col("node").alias("own"), F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("loop", F.lit(0.0)).alias("loop")))
+    start = cut_lineage(every.join(strengths, "node", "left").select("node", F.col("node").alias("own"), F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("loop", F.lit(0.0)).alias("loop")))
+    labels, best = None, None
+    while True:
+        found = cut_lineage(_levels(edges, start, resolution, whole, seed))
+        now = quality(edges, found, resolution)
+        if best is not None and now <= best + EPS:
+            break
+        labels, best, seed = found, now, seed + 1000
+        # Again, from the communities found, each named by its least node, as long as that gains.
+        names = labels.join(labels.groupBy("label").agg(F.min("node").alias("own")), "label").select("node", "own")
+        start = cut_lineage(start.drop("own").join(names, "node").select("node", "own", "strength", "loop"))
+    inside = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b and src <> dst").select("src", "dst")
+    return _numbered(components(cut_lineage(inside), every))
+
+
+def _levels(edges: DataFrame, level: DataFrame, resolution: float, whole: float, seed: int) -> DataFrame:
+    """node, label: moves, refinement and aggregation from the communities of ``level`` (node, own, strength, loop) until no part joins another."""
+    labels = level.select("node", F.col("node").alias("at"))
     for depth in range(64):  # each level has fewer nodes than the one before
         moved = _moves(edges, level, resolution, whole, seed + depth)
         parts = cut_lineage(_refined(edges, moved, resolution, whole, seed + depth))
@@ -162,9 +178,7 @@ def leiden(edges: DataFrame, nodes: DataFrame | None = None, resolution: float =
         level = cut_lineage(totals.join(owner, "node").join(loops, "node", "left").select("node", "own", "strength", F.coalesce("loop", F.lit(0.0)).alias("loop")))
     else:
         labels = labels.withColumnRenamed("at", "label")
-    labels = cut_lineage(labels)
-    inside = original.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b and src <> dst").select("src", "dst")
-    return _numbered(components(cut_lineage(inside), every))
+    return labels
 
 
 def _numbered(labels: DataFrame) -> DataFrame:
