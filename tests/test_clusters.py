@@ -144,7 +144,7 @@ def connected(nodes, edges):
 
 
 def test_communities_are_connected_and_no_worse_than_a_loop(spark):
-    edges = planted(1)
+    edges = planted(1, 4, 9)
     df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, w double")
     lonely = spark.createDataFrame([(0,), (500,)], "node long")
     got = {r[0]: r[1] for r in communities.leiden(df, lonely, 1.0).collect()}
