@@ -1,12 +1,14 @@
 """URL rules found by hashed host-suffix and path-prefix expressions.
 
 Each URL expands into (host suffix, path prefix) expressions: one suffix per
-label, one prefix per length that any rule's path has.  A short hash prefix of
+number of labels that any rule's host has, one prefix per length that any
+rule's path has, so that a host of many labels costs no more than its length.  A short hash prefix of
 each expression meets the rules in an equi-join; the full digest confirms, and
 the longest rule decides (host first, then path; equal rules: block wins).
 
 Nulls: a null url, or one without ``://``, has empty host and path and fits no
-rule.  A host ending in a dot keeps its empty last label.  Extra columns pass through
+rule.  A host ending in a dot keeps its empty last label.  A rule with a null or
+empty host, or a null path, fits nothing.  Extra columns pass through
 untouched when ``keep`` names them.  Empty tables give empty results.
 """
 
@@ -30,12 +32,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` gives ``a.b.c``, ``b.c`` and ``c``; an empty host none."""
-    labels = F.split(host, r"\.", -1)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    )
+def labels_of(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def host_suffixes(host: Column, labels: list[int]) -> Column:
+    """The suffixes of the given numbers of labels that the host has (of 1 and 2, ``a.b.c`` gives ``c`` and ``b.c``); an empty host has none."""
+    held = F.when(host == "", 0).otherwise(labels_of(host))
+    return F.flatten(F.array(*[F.when(held >= n, F.array(F.substring_index(host, ".", -n))).otherwise(F.array().cast("array<string>")) for n in labels]))
 
 
 def path_prefixes(path: Column, lengths: list[int]) -> Column:
@@ -57,13 +61,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     a host with many pages costs one lookup.
     """
     rules = (
-        rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
+        rules.where((F.col("host") != "") & F.col("path").isNotNull())
         .groupBy(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"))
         .agg(F.max("action").alias("r_action"))
         .withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path")))
         .withColumn("short", F.substring("r_digest", 1, SHORT))
     )
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect()) or [0]
+    labels = sorted(r[0] for r in rules.select(labels_of(F.col("r_host"))).distinct().collect()) or [1]
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     base = pages.select(
         F.col(id_col).alias("id"),
@@ -73,7 +78,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     )
     exprs = F.flatten(
         F.transform(
-            host_suffixes(F.col("host")),
+            host_suffixes(F.col("host"), labels),
             lambda h: F.transform(path_prefixes(F.col("path"), lengths), lambda p: F.struct(h.alias("h"), p.alias("p"))),
         )
     )

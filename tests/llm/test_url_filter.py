@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def test_verdicts_match_brute_force(spark, monkeypatch, limit):
         monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
     rows = list(enumerate(urls(3, 300) + ODD)) + [(5, "http://example.com/en/"), (5, "http://example.com/en/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("short", F.lit("k")).withColumn("best", F.lit(2)).repartition(3)
-    rules = [*queries.URL_RULES, (None, "/", "block"), ("com", None, "block")]
+    rules = [*queries.URL_RULES, ("", "", "block"), (None, "/", "block"), ("com", None, "block")]
     got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string")).collect()), key=str)
     assert got == sorted(((i, *brute(u, queries.URL_RULES)) for i, u in rows), key=str)
 
@@ -51,3 +52,15 @@ def test_of_equal_rules_block_wins_and_no_rules_allow(spark):
 def test_empty_table(spark):
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).collect() == []
+
+
+def test_hosts_and_paths_of_any_length_cost_their_length(spark):
+    long = "http://" + "a." * 20_000
+    rows = [(1, long + "net/fr/x"), (2, long + "org/fr/x"), (3, "http://www.example.com/en/" + "y/" * 200_000), (4, "http://" + "." * 20_000 + "com/"), (5, "http://" + "a" * 50_000 + ".net/es/")]
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
+    judged = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    judged.count()
+    start = time.monotonic()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judged.collect()}
+    assert time.monotonic() - start < 10  # every suffix of the first two hosts would be 400 MB each
+    assert got == {i: brute(u, queries.URL_RULES) for i, u in rows}
