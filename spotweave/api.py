@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from .operators import abundance, annotate, deconv, detect, ensemble, instances, interaction, predict, superres
+from .sources.io import cached, cut_lineage
 
 #: Backends take (spot counts, type means) and give obs, cell_type, value.
 _BACKENDS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
@@ -50,17 +51,29 @@ def validate_proportions(props: DataFrame) -> None:
         raise ValueError("proportions must be finite, non-negative and unique per observation and type")
 
 
-def deconv_celltype(counts: DataFrame, means: DataFrame, methods: list[str], strict: bool = False, min_methods: int = 2) -> tuple[DataFrame, dict[str, float], dict[str, str]]:
+def deconv_celltype(counts: DataFrame, means: DataFrame, methods: list[str], strict: bool = False, min_methods: int = 2, cache: str | None = None) -> tuple[DataFrame, dict[str, float], dict[str, str]]:
     """Consensus proportions (spot_id, cell_type, value), the methods' weights, and the errors of methods that failed.
 
     Fewer than ``min_methods`` successes give the first one as it is; none raise.
+    With a ``cache`` folder a method runs once on the same counts and means; its
+    entry also depends on the function's name, so rename a backend that changes.
     """
+
+    def run(m: str) -> DataFrame:
+        out = cut_lineage(_backend(m)(counts, means))
+        validate_proportions(out)
+        return out
+
+    def proportions(m: str) -> DataFrame:
+        if cache is None:
+            return run(m)
+        function = _backend(m)
+        return cached(cache, [counts, means], {"method": m, "function": f"{function.__module__}.{function.__qualname__}"}, lambda: run(m))
+
     done, errors = {}, {}
     for m in methods:
         try:
-            out = _backend(m)(counts, means).persist()
-            validate_proportions(out)
-            done[m] = out
+            done[m] = proportions(m)
         except Exception as e:
             if strict:
                 raise

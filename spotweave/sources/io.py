@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -42,17 +43,88 @@ def cache_id(**params) -> str:
     return hashlib.sha1(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
+#: The file that makes a folder an entry; it is written aside with the rows, so an entry has it or doesn't exist.
+META = "_entry.json"
+
+
+class _Files:
+    """The file system that holds a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.gateway, conf = spark.sparkContext._jvm, spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+        self.conf, self.fs = conf, self.path(folder).getFileSystem(conf)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.path(name))
+
+    def write(self, name: str, text: str) -> None:
+        out = self.fs.create(self.path(name), False)
+        try:
+            out.write(text.encode())
+        finally:
+            out.close()
+
+    def publish(self, aside: str, name: str) -> bool:
+        """Rename a folder in one step; False, and nothing done, if the name is taken."""
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        try:
+            context.rename(self.fs.makeQualified(self.path(aside)), self.fs.makeQualified(self.path(name)), self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception:
+            if self.exists(f"{name}/{META}"):
+                return False
+            raise
+        return True
+
+
 def cached(folder: str, inputs: list[DataFrame], params: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``build`` makes, kept under the content of its inputs and its parameters; a stale entry can't be hit."""
-    spark = inputs[0].sparkSession
-    path = f"{folder}/{cache_id(inputs=[fingerprint(d) for d in inputs], **params)}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
+    """The table that ``build`` makes, kept under the content of its inputs and its parameters; a stale entry can't be hit.
+
+    Rows and then a description (parameters, inputs' fingerprints, schema, count) are
+    written aside; one rename makes them the entry.  A writer that dies leaves a
+    folder that no reader looks at (``sweep_cache`` removes it); of several writers
+    at once the first one's entry stays, and the others read it.  The folder's file
+    system must rename folders in one step, as HDFS and local ones do.
+    """
+    spark, prints = inputs[0].sparkSession, [fingerprint(d) for d in inputs]
+    path, files = f"{folder}/{cache_id(inputs=prints, **params)}", _Files(spark, folder)
+    if not files.exists(f"{path}/{META}"):
+        aside = f"{folder}/_aside-{uuid.uuid4().hex}"
+        made = build()
+        made.write.parquet(aside)
+        rows = spark.read.schema(made.schema).parquet(aside).count()
+        about = {"params": params, "inputs": prints, "schema": json.loads(made.schema.json()), "rows": rows}
+        files.write(f"{aside}/{META}", json.dumps(about, sort_keys=True, default=str))
+        if not files.publish(aside, path):
+            files.fs.delete(files.path(aside), True)
     return spark.read.parquet(path)
 
 
+def cache_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """path and about (JSON) of a cache's whole entries; those being written aren't among them."""
+    files = _Files(spark, folder)
+    held = []
+    for status in files.fs.globStatus(files.path(f"{folder}/[!_]*/{META}")) or []:
+        stream = files.fs.open(status.getPath())
+        try:
+            about = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        held.append((status.getPath().getParent().toString(), about))
+    return spark.createDataFrame(held, "path string, about string")
+
+
+def sweep_cache(spark: SparkSession, folder: str, older_seconds: float = 86_400) -> int:
+    """Remove what writers that died left more than ``older_seconds`` ago; the number of folders removed."""
+    files, gone = _Files(spark, folder), 0
+    for status in files.fs.globStatus(files.path(f"{folder}/_aside-*")) or []:
+        if status.getModificationTime() / 1000 < time.time() - older_seconds:
+            gone += files.fs.delete(status.getPath(), True)
+    return gone
+
+
 def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written to the shared folder (in folders of equal ``by``) and read back: loops stay short plans, and a lost executor costs nothing."""
     spark = df.sparkSession

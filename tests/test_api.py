@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotweave import api
+from spotweave.operators import deconv
+from spotweave.sources import io
 from spotweave.streaming import tiles
 
 
@@ -26,6 +29,26 @@ def test_deconvolution_collects_errors_and_weighs_methods(spark):
     assert {r["spot_id"] for r in alone.collect()} == {0, 1, 2, 3} and all(r["value"] >= 0 for r in alone.collect())
 
 
+def test_methods_run_once_on_the_same_tables_with_a_cache(spark, tmp_path):
+    counts = spark.createDataFrame([(s, g, float(1 + (s * g) % 5)) for s in range(4) for g in range(6)], "obs long, gene int, value double")
+    means = spark.createDataFrame([(t, g, float(1 + (i + 1) * g % 4)) for i, t in enumerate("ab") for g in range(6)], "cell_type string, gene int, mean double")
+    ran = []
+
+    def counted(counts, means):
+        ran.append(1)
+        return deconv.nnls_deconv(counts, means)
+
+    api.register_backend("counted", counted)
+    api.register_backend("broken", lambda counts, means: deconv.nnls_deconv(counts, means).withColumn("value", F.lit(-1.0)))
+    try:
+        runs = [api.deconv_celltype(c, means, ["counted", "broken"], cache=str(tmp_path))[0] for c in (counts, counts.repartition(3), counts.where("obs < 3"))]
+        assert len(ran) == 2 and [r.count() for r in runs] == [8, 8, 6] and runs[0].exceptAll(runs[1]).isEmpty()
+        assert io.cache_entries(spark, str(tmp_path)).count() == 2  # what doesn't validate is no entry
+    finally:
+        for name in ("counted", "broken"):
+            api._BACKENDS.pop(name)
+
+
 def test_cells_are_detected_from_maps_and_points_get_shares(spark):
     r, c = np.mgrid[:64, :64]
     tiles, inside = [], {}
