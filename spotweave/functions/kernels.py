@@ -102,10 +102,11 @@ _NODES, _WEIGHTS = np.polynomial.hermite.hermgauss(24)
 
 def _lognormal_nodes(y: np.ndarray, mu: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """Per gene the factors exp(sigma z) at nodes around the integrand's mode, and the logarithms of the weighted integrand there (without y!)."""
-    z = np.log((y + 1) / mu) * sigma * (y + 1) / (1 + sigma * sigma * (y + 1))
+    # The mode is at most sigma y; steps of 1 / sigma change the rate by a factor of e.
+    z, most = np.minimum(np.log((y + 1) / mu) * sigma * (y + 1) / (1 + sigma * sigma * (y + 1)), sigma * y), max(1.0, 1 / sigma)
     for _ in range(12):
         rate = mu * np.exp(sigma * z)
-        z = z + np.clip((sigma * (y - rate) - z) / (1 + sigma * sigma * rate), -1, 1)
+        z = z + np.clip((sigma * (y - rate) - z) / (1 + sigma * sigma * rate), -most, most)
     width = 1 / np.sqrt(1 + sigma * sigma * mu * np.exp(sigma * z))
     at = z[:, None] + np.sqrt(2) * width[:, None] * _NODES[None, :]
     factor = np.exp(sigma * at)
@@ -123,6 +124,48 @@ def poisson_lognormal_derivatives(y: np.ndarray, mu: np.ndarray, sigma: float) -
     return one / zero, two / zero - (one / zero) ** 2
 
 
+class LikelihoodTable:
+    """``poisson_lognormal_derivatives`` of whole counts up to ``MOST``, by cubics in log mu between the nodes of a grid.
+
+    At each node the derivative by log mu and its own derivative are kept, so
+    both results come from one smooth curve.  Other counts, and mu beyond the
+    grid, take the quadrature.
+    """
+
+    MOST, NODES_A_UNIT, ENDS = 100, 64, (-9.25, 11.5)
+
+    def __init__(self, sigma: float, rows: np.ndarray):
+        self.sigma, self.rows = sigma, rows
+
+    @classmethod
+    def grid(cls) -> np.ndarray:
+        low, high = cls.ENDS
+        return low + np.arange(int((high - low) * cls.NODES_A_UNIT) + 1) / cls.NODES_A_UNIT
+
+    @classmethod
+    def row(cls, count: int, sigma: float) -> np.ndarray:
+        """A count's values at the nodes, then its slopes."""
+        mu = np.exp(cls.grid())
+        d1, d2 = poisson_lognormal_derivatives(np.full(len(mu), float(count)), mu, sigma)
+        return np.concatenate([mu * d1, mu * d1 + mu * mu * d2])
+
+    def derivatives(self, y: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = (np.log(mu) - self.ENDS[0]) * self.NODES_A_UNIT
+        width = self.rows.shape[1] // 2
+        out = (y != np.floor(y)) | (y < 0) | (y > self.MOST) | ~((place >= 0) & (place < width - 1))
+        at, row = np.where(out, 0, place).astype(int), np.where(out, 0, y).astype(int)
+        u, flat, start = np.where(out, 0, place - at), self.rows.ravel(), row * (2 * width) + at
+        a, b, h = flat[start], flat[start + 1], 1 / self.NODES_A_UNIT
+        p, q = flat[start + width] * h, flat[start + width + 1] * h
+        square, cube = 3 * (b - a) - 2 * p - q, 2 * (a - b) + p + q
+        value = a + u * (p + u * (square + u * cube))
+        slope = (p + u * (2 * square + 3 * u * cube)) / h
+        d1, d2 = value / mu, (slope - value) / (mu * mu)
+        if out.any():
+            d1[out], d2[out] = poisson_lognormal_derivatives(y[out], mu[out], self.sigma)
+        return d1, d2
+
+
 def poisson_lognormal_loss(y: np.ndarray, mu: np.ndarray, sigma: float) -> float:
     """Minus the summed log P(y), y Poisson with a mean of mu times a lognormal factor, by quadrature around the mode."""
     _, log_p = _lognormal_nodes(y, mu, sigma)
@@ -131,10 +174,11 @@ def poisson_lognormal_loss(y: np.ndarray, mu: np.ndarray, sigma: float) -> float
     return float((fact - top - np.log(np.exp(log_p - top[:, None]).sum(1))).sum())
 
 
-def rctd_weights(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float | None, rounds: int = 50, tol: float = 1e-3, most: float = 100, whole: bool = False) -> np.ndarray:
+def rctd_weights(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float | None, rounds: int = 50, tol: float = 1e-3, most: float = 100, whole: bool = False, table: LikelihoodTable | None = None) -> np.ndarray:
     """Weights of a spot: damped Newton steps with a positive-definite Hessian and x >= 0; ``whole`` keeps their sum at 1.
 
     Without ``sigma`` the squared difference of the logarithms is fitted instead of the likelihood, for a bulk sample.
+    ``table``: of that sigma, in place of a quadrature per call.
     """
     s = signature * n_umi
     y = y if sigma is None else np.minimum(y, most)
@@ -145,7 +189,7 @@ def rctd_weights(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: floa
             gap = np.log(mu) - np.log(np.maximum(y, 1e-300))
             d1, d2 = -2 * gap / mu, -2 * (1 - gap) / mu**2
         else:
-            d1, d2 = poisson_lognormal_derivatives(y, mu, sigma)
+            d1, d2 = poisson_lognormal_derivatives(y, mu, sigma) if table is None else table.derivatives(y, mu)
         value, vector = np.linalg.eigh(-(s * d2[:, None]).T @ s)
         hess = (vector * np.maximum(value, 1e-3)) @ vector.T
         norm = np.linalg.norm(hess, 2)
@@ -161,7 +205,7 @@ def rctd_weights(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: floa
 NEAR_PAIR, DOUBLET, CANDIDATE = 10.0, 25.0, 0.01
 
 
-def doublet(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float, classes: np.ndarray | None = None) -> tuple[str, int, int, float, float, float]:
+def doublet(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float, classes: np.ndarray | None = None, table: LikelihoodTable | None = None) -> tuple[str, int, int, float, float, float]:
     """Whether a spot holds one type or two: its class, first and second type, the first one's weight, the pair's and the lone type's loss.
 
     Candidates come from the fit of all types; every pair of them is fitted.  A
@@ -176,10 +220,10 @@ def doublet(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float, cl
 
     def loss(types: list[int]) -> float:
         s = signature[:, types]
-        x = rctd_weights(s, y, n_umi, sigma, rounds=25)
+        x = rctd_weights(s, y, n_umi, sigma, rounds=25, table=table)
         return poisson_lognormal_loss(counts, np.maximum(s @ np.maximum(x, 0) * n_umi, 1e-4), sigma)
 
-    found = np.flatnonzero(rctd_weights(signature, y, n_umi, sigma) > CANDIDATE).tolist()
+    found = np.flatnonzero(rctd_weights(signature, y, n_umi, sigma, table=table) > CANDIDATE).tolist()
     if not found:
         found = list(range(k))[1:3] if k > 2 else list(range(k))
     elif len(found) == 1 and k > 1:
@@ -209,7 +253,7 @@ def doublet(signature: np.ndarray, y: np.ndarray, n_umi: float, sigma: float, cl
     if alone - best < DOUBLET:
         kind = "singlet"
     first, second = pair[::-1] if swap else pair
-    x = np.maximum(rctd_weights(signature[:, [first, second]], y, n_umi, sigma), 0)
+    x = np.maximum(rctd_weights(signature[:, [first, second]], y, n_umi, sigma, table=table), 0)
     return kind, first, second, float(x[0] / x.sum()) if x.sum() > 0 else 0.0, best, alone
 
 
