@@ -128,7 +128,8 @@ def scores(spark, d):
 
 @query(f"SELECT cell_id, cell_type, round(score, 6) AS score FROM ({SCORES})")
 def segment_scores(spark, d):
-    return rounded(scores(spark, d), "score")
+    # Sums of k / n^2 can lie halfway between two results; the first rounding takes away what the order of a sum leaves in its last bits.
+    return rounded(rounded(scores(spark, d), "score", digits=12), "score")
 
 
 MORPH = f"SELECT *, CASE cell_id % 6 WHEN 1 THEN 'Neoplastic cells' WHEN 2 THEN 'Inflammatory' WHEN 3 THEN 'Connective/Soft tissue cells' WHEN 5 THEN 'Epithelial' END AS morphology FROM ({IN_SPOT}) WHERE cell_id % 6 IN (1, 2, 3, 5)"

@@ -34,3 +34,10 @@ def test_joins_have_no_nested_loops(spark):
     for name in ("radius_join_euclidean", "neighborhood_composition", "covered_cells", "uncovered_cells", "overlap_pairs"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+@pytest.mark.parametrize("score", [0.05033749999999999, 0.0503375])
+def test_segment_scores_halfway_sums_do_not_depend_on_their_order(spark, monkeypatch, score):
+    """Both are sums of the same six shares in different orders; their exact total, 4027 / 80000, is halfway between two results."""
+    monkeypatch.setattr(more_queries, "scores", lambda spark, d: spark.createDataFrame([(1, "error", score)], "cell_id long, cell_type string, score double"))
+    assert more_queries.segment_scores(spark, SF).first().score == 0.050338
