@@ -1,6 +1,7 @@
 import heapq
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,52 @@ def test_scaled_and_empty(spark):
     assert dict(map(tuple, df.collect())) == {1: [128, -1], 2: None, 3: None, 4: None, 5: None, 6: None}
     assert mtree.top_k(df.limit(0), df.limit(0)).collect() == []
     assert mtree.top_k(df, df).collect() == []
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.05])
+@pytest.mark.parametrize("bounds", [1, 1 << 20])
+def test_side_by_side_search_matches_scan_with_copies_ties_and_prunes_clusters(monkeypatch, spread, bounds):
+    monkeypatch.setattr(mtree, "PAGE", 20)
+    monkeypatch.setattr(mtree, "BOUNDS", bounds)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-3, 4, size=(12, 8)) * 100
+    x = np.unique(np.floor(centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)) * 100 * spread).astype(np.int64), axis=0)
+    copies = rng.integers(1, 4, len(x))
+    first, ids = np.append(0, np.cumsum(copies)), rng.permutation(copies.sum())
+    for a, z in zip(first[:-1], first[1:]):
+        ids[a:z].sort()
+    asked = np.arange(0, len(x), 7)
+    tree = mtree.MTree(x)
+    place, score, member = tree.search_all(x[asked], ids[first[asked]], 5, first, ids)
+    point = np.repeat(np.arange(len(x)), copies)
+    for j, a in enumerate(asked):
+        want = heapq.nsmallest(5, ((-int(x[a] @ x[p]), int(i)) for p, i in zip(point, ids) if i != ids[first[a]]))
+        assert sorted((-int(s), int(i)) for s, i in zip(score[place == j], member[place == j])) == want
+    if spread < 1:
+        assert tree.computed < 0.6 * tree.scanned
+
+
+def test_fewer_points_than_asked_for_and_a_lone_one():
+    tree = mtree.MTree(np.array([[1, 2], [3, 4]]))
+    assert [c.tolist() for c in tree.search_all(np.array([[1, 2], [1, 0]]), np.array([7, 9]), 5, np.array([0, 1, 2]), np.array([7, 8]))] == [[0, 1, 1], [11, 3, 1], [8, 8, 7]]
+    tree = mtree.MTree(np.array([[1, 2]]))
+    assert not len(tree.search_all(np.array([[1, 2]]), np.array([7]), 5, np.array([0, 1]), np.array([7]))[0])
+
+
+def test_queries_of_a_block_share_the_visits_to_its_leaves(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-99, 100, size=(4000, 64))
+    group = pa.record_batch(
+        {
+            "part": np.zeros(4300, np.int64),
+            "kind": np.repeat(np.array([0, 1], np.int32), [4000, 300]),
+            "vector": pa.array([*x.tolist(), *x[:300].tolist()], pa.list_(pa.int64())),
+            "ids": pa.array([[i] for i in [*range(4000), *range(300)]], pa.list_(pa.int64())),
+        }
+    )
+    visits, offer = [], mtree.MTree._offer
+    monkeypatch.setattr(mtree.MTree, "_offer", lambda self, at, *rest: (visits.append(len(at)), offer(self, at, *rest)))
+    (found,) = mtree._search_blocks(iter([group]), 5)
+    assert found.num_rows == 1500
+    leaves = sum("points" in node for node in mtree.MTree(x).nodes)
+    assert leaves <= len(visits) < 10 * leaves  # one by one: 300 visits to nearly every leaf
