@@ -41,6 +41,8 @@ TRAIN_ROWS = 200_000
 LEAST_Z, LEAST_ODDS, LEAST_DOCS, LEAST_APART = 4.0, 1.0, 5, 20
 #: Words of the shingle by which near copies are told, and the share of both texts' shingles that they have in common.
 SHINGLE, SIMILAR = 5, 0.8
+#: Bytes of text that a task takes up and hands on at once; distinct words of a class whose counts it holds, and rows of those that it hands on at once.
+PIECE_BYTES, HELD_WORDS, COUNT_ROWS = 500_000, 1 << 20, 1 << 16
 #: Steps of the histogram of word scores.
 STEPS = 50
 #: Lengths of the prefixes, in bytes.
@@ -114,6 +116,13 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return scan(at.tolist(), total[at].tolist(), total[at + 1].tolist())
 
 
+def _pieces(batches, at: int = 0):
+    """Batches of about ``PIECE_BYTES`` of the texts in column ``at``, or of one longer text, so that no task holds more, whatever rows a batch has."""
+    for batch in batches:
+        for a, z, _, _ in T.text_slices(batch.column(at), PIECE_BYTES):
+            yield batch.slice(a, z - a)
+
+
 def _segments(column, model: Model):
     """(segments, number of words) of every text."""
     for _, _, data, offsets in T.text_slices(column):
@@ -160,16 +169,20 @@ def _first_copies(texts: pa.Array) -> list[int]:
 
 def _without_copies(batches):
     """Of rows (h, y, id, text), sorted, those that aren't copies of one before them with the same h and y; most are alone with theirs."""
-    held = None
-    for batch in itertools.chain(batches, [None]):
-        rows = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks().to_batches() if held is not None or batch is not None else []
-        rows, held = (rows[0] if rows else None), None
+    held: list[pa.RecordBatch] = []
+    key = lambda rows, i: (rows.column(0)[i].as_py(), rows.column(1)[i].as_py())
+    for batch in itertools.chain(_pieces(batches, 3), [None]):
+        if batch is not None and held and key(held[0], 0) == key(batch, -1):  # the run goes on
+            held.append(batch)
+            continue
+        rows = pa.Table.from_batches([*held, *([batch] if batch is not None else [])]).combine_chunks().to_batches() if held or batch is not None else []
+        rows, held = (rows[0] if rows else None), []
         if rows is None:
             continue
         h, y = (rows.column(k).to_numpy() for k in (0, 1))
         cut = np.append(0, np.flatnonzero((h[1:] != h[:-1]) | (y[1:] != y[:-1])) + 1)
         if batch is not None:  # the last run may go on
-            held = rows.slice(int(cut[-1]))
+            held = [rows.slice(int(cut[-1]))]
             rows, cut = rows.slice(0, int(cut[-1])), cut[:-1]
         if not rows.num_rows:
             continue
@@ -181,6 +194,46 @@ def _without_copies(batches):
         yield pa.RecordBatch.from_arrays([rows.column(k).take(take) for k in (0, 1, 3)], names=["h", "y", "text"])
 
 
+def _text_counts(batches):
+    """Of rows (text, y), how many texts of each class (1 or 0) hold a token: word, k, n, summed over the task's texts as far as ``HELD_WORDS`` reach."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    new, held = ([], []), [none, none]
+
+    def merge(k: int) -> None:
+        if new[k]:
+            w, n = np.unique(np.concatenate(new[k]), return_counts=True)
+            new[k].clear()
+            w, n = np.concatenate([held[k][0], w]), np.concatenate([held[k][1], n])
+            order = np.argsort(w, kind="stable")
+            w, n = w[order], n[order]
+            start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            held[k] = w[start], np.add.reduceat(n, start)
+
+    def rows(k: int):
+        (w, n), held[k] = held[k], none
+        for a in range(0, len(w), COUNT_ROWS):
+            part = w[a : a + COUNT_ROWS].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), k)), pa.array(n[a : a + COUNT_ROWS])], names=["word", "k", "n"])
+
+    for batch in _pieces(batches):
+        y = batch.column(1).to_numpy(zero_copy_only=False)
+        row = 0
+        for _, _, data, offsets in T.text_slices(batch.column(0)):
+            starts, ends, first = T.words(data, offsets)
+            h = np.stack(T.word_and_prefix_hashes(data, starts, ends, PREFIXES))
+            for i in range(len(offsets) - 1):
+                new[int(y[row] > 0)].append(np.unique(h[:, first[i] : first[i + 1]]))
+                row += 1
+        for k in (0, 1):
+            if sum(map(len, new[k])) > HELD_WORDS // 2:
+                merge(k)
+            if len(held[k][0]) > HELD_WORDS:
+                yield from rows(k)
+    for k in (0, 1):
+        merge(k)
+        yield from rows(k)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the labelled rows outside the held-out fold (at most ``TRAIN_ROWS``, by hash)."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -189,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     # Copies and near copies of a text say no more than one of them.
     def sketch(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             least = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for _, _, data, offsets in T.text_slices(batch.column(0)) for s in T.shingle_sets(data, offsets, SHINGLE)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "y", "id", "h"])
 
@@ -198,29 +251,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = texts.select("h", "y", "id", "text").repartition(parallelism(docs.sparkSession), "h", "y").sortWithinPartitions("h", "y", "id", "text").mapInArrow(_without_copies, "h bigint, y int, text string")
     texts = settle(texts.select("text", "y", (F.pmod(F.xxhash64("h", F.lit(5)), F.lit(5)) == 0).alias("apart")), "labelled")
 
-    def count(batches):
-        for batch in batches:
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            row = 0
-            out = ([], [])
-            for _, _, data, offsets in T.text_slices(batch.column(0)):
-                starts, ends, first = T.words(data, offsets)
-                h = np.stack(T.word_and_prefix_hashes(data, starts, ends, PREFIXES))
-                for i in range(len(offsets) - 1):
-                    out[int(y[row] > 0)].append(np.unique(h[:, first[i] : first[i + 1]]))
-                    row += 1
-            for k in (0, 1):
-                if out[k]:
-                    w, n = np.unique(np.concatenate(out[k]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), k)), pa.array(n)], names=["word", "k", "n"])
-
     size = {(r[0] > 0, r[1]): r[2] for r in texts.groupBy("y", "apart").count().collect()}
     if not all(any(size.get((k, x)) for x in (True, False)) for k in (True, False)):
         return Model()
     apart = all(size.get((k, True), 0) >= LEAST_APART and size.get((k, False)) for k in (True, False))
     n1, n0 = (float(size.get((k, False), 0) + (0 if apart else size.get((k, True), 0))) for k in (True, False))
     seen, rest = (texts.where("not apart"), texts.where("apart")) if apart else (texts, texts)
-    counts = seen.select("text", "y").mapInArrow(count, "word bigint, k bigint, n bigint").groupBy("word").agg(
+    counts = seen.select("text", "y").mapInArrow(_text_counts, "word bigint, k bigint, n bigint").groupBy("word").agg(
         F.sum(F.when(F.col("k") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("y0")
     )
     rate = (F.col("y1") + F.col("y0")) / (n1 + n0)
@@ -243,7 +280,7 @@ def _calibrate(model: Model, texts: DataFrame) -> None:
 
     def shares(batches):
         cells: dict[tuple[int, int], int] = {}
-        for batch in batches:
+        for batch in _pieces(batches):
             y = batch.column(1).to_numpy(zero_copy_only=False)
             row = 0
             for _, _, data, offsets in T.text_slices(batch.column(0)):
@@ -278,7 +315,7 @@ def _calibrate(model: Model, texts: DataFrame) -> None:
 
     def best(batches):
         out = np.zeros(2)
-        for batch in batches:
+        for batch in _pieces(batches):
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for row, (segments, n) in enumerate(_segments(batch.column(0), model)):
                 if segments and not y[row]:
@@ -291,7 +328,7 @@ def _calibrate(model: Model, texts: DataFrame) -> None:
 
     def histogram(batches):
         out = np.zeros((2, cells))
-        for batch in batches:
+        for batch in _pieces(batches):
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for row, (segments, n) in enumerate(_segments(batch.column(0), model)):
                 e = model.evidence(segments, max(n, 1))
@@ -325,7 +362,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches):
         m = held.value
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             evidence, found = [], []
             for segments, n in _segments(batch.column(1), m):
                 evidence.append(m.evidence(segments, max(n, 1)))
@@ -348,7 +385,7 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     def run(batches):
         m = held.value
-        for batch in batches:
+        for batch in _pieces(batches, at):
             evidence = [m.evidence(segments, max(n, 1)) for segments, n in _segments(batch.column(at), m)]
             yield batch.filter(pa.array(m.probability(np.array(evidence)) < 0.5))
 

@@ -1,5 +1,7 @@
 import itertools
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +123,43 @@ def test_scores_are_equal_for_any_partitioning(tables):
         model = tox.train(docs.repartition(n), labels.repartition(n))
         runs.append(sorted((str(r["doc_id"]), r["score"]) for r in tox.score_texts(docs, model).collect()))
     assert runs[0] == runs[1]
+
+
+def test_tasks_hold_and_hand_on_pieces_whatever_rows_a_batch_has(monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(250)) for _ in range(4000)]
+    rows = pa.record_batch({"h": np.arange(4000), "y": np.zeros(4000, np.int32), "id": np.arange(4000), "text": texts})
+    out = list(tox._without_copies(iter([rows])))
+    assert sum(b.num_rows for b in out) == 4000
+    assert max(len("".join(b.column(2).to_pylist())) for b in out) <= 2 * tox.PIECE_BYTES
+    batch = pa.record_batch({"text": texts, "y": np.zeros(4000, np.int32)})
+    monkeypatch.setattr(tox, "HELD_WORDS", 1 << 17)
+    next(tox._text_counts(iter([batch.slice(0, 10)])))  # fills the tables of powers
+    tracemalloc.start()
+    sizes = [b.num_rows for b in tox._text_counts(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(sizes) <= tox.COUNT_ROWS
+    assert peak < 40e6  # whole, the distinct tokens of each text take 50 MB, and their concatenation as much again
+
+
+def test_counts_and_copies_are_those_of_whole_batches(monkeypatch):
+    r = random.Random(7)
+    texts = [" ".join(r.choices("ab cd efghij klmnop".split(), k=r.randrange(0, 9))) for _ in range(300)]
+    y = np.array([r.randrange(2) for _ in texts], np.int32)
+    want = {}
+    for t, k in zip(texts, y.tolist()):
+        for w in {w[:n] for w in t.split() for n in (*tox.PREFIXES, len(w))}:
+            want[k] = want.get(k, []) + [w]
+    n = sorted((k, c) for k, held in want.items() for c in Counter(held).values())
+    run = sorted([(i // 97, 0, i, t) for i, t in enumerate(texts)])
+    rows = pa.record_batch([pa.array(c) for c in zip(*run)], names=["h", "y", "id", "text"])
+    whole = [b.to_pylist() for b in tox._without_copies(iter([rows]))]
+    monkeypatch.setattr(tox, "HELD_WORDS", 8)
+    monkeypatch.setattr(tox, "PIECE_BYTES", 60)
+    got = {}
+    for b in tox._text_counts(iter([pa.record_batch({"text": texts, "y": y})])):
+        for x in b.to_pylist():
+            got[x["k"], x["word"]] = got.get((x["k"], x["word"]), 0) + x["n"]
+    assert sorted((k, c) for (k, _), c in got.items()) == n
+    assert [x for b in tox._without_copies(iter([rows])) for x in b.to_pylist()] == [x for b in whole for x in b]
