@@ -41,3 +41,23 @@ def test_segment_scores_halfway_sums_do_not_depend_on_their_order(spark, monkeyp
     """Both are sums of the same six shares in different orders; their exact total, 4027 / 80000, is halfway between two results."""
     monkeypatch.setattr(more_queries, "scores", lambda spark, d: spark.createDataFrame([(1, "error", score)], "cell_id long, cell_type string, score double"))
     assert more_queries.segment_scores(spark, SF).first().score == 0.050338
+
+
+def broadcast_generates(plan: str) -> list[str]:
+    """Lines of a plan that unfold rows below a broadcast."""
+    found, at = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if at is not None and depth <= at:
+            at = None
+        if "BroadcastExchange" in line:
+            at = depth
+        elif at is not None and "Generate" in line:
+            found.append(line)
+    return found
+
+
+@pytest.mark.parametrize("name", ["segment_scores", "neighbor_graph", "neighborhood_composition", "overlap_pairs", "largest_remainder_quota"])
+def test_unfolded_rows_are_not_broadcast(spark, name):
+    """Spark takes nine rows of a cell for as small as the one they come from; sent to all tasks they burst the driver."""
+    assert not broadcast_generates(queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
