@@ -1,5 +1,7 @@
 """The assignment of any number of rows against the one-process optimum and the conditions of optimality."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -49,3 +51,17 @@ def test_no_rows_and_one_type(spark):
     assert assign.assign(table(spark, np.zeros((0, 2))), ["s0", "s1"], np.array([0, 0])).collect() == []
     ours, at = total(spark, np.ones((5, 1)), np.array([5]))
     assert ours == 5 and (at == 0).all()
+
+
+def test_a_large_group_is_dealt_in_time_and_as_unit_by_unit():
+    """30,000 rows of one spot: every moved row once cost a pass over all rows."""
+    rng = np.random.default_rng(6)
+    score = rng.random((30_000, 5))
+    quota = rng.multinomial(30_000, [0.5, 0.3, 0.1, 0.05, 0.05])
+    began = time.process_time()
+    at = kernels.assign_with_quota(score, quota)
+    assert time.process_time() - began < 12
+    assert np.bincount(at, minlength=5).tolist() == quota.tolist()
+    price = assign.prices(score, at)
+    worth = score - price
+    assert (worth[np.arange(len(at)), at] >= worth.max(1) - 1e-9).all()
