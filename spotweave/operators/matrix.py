@@ -220,7 +220,7 @@ def wilcoxon_markers(expression: DataFrame, labels: DataFrame, top: int = 100) -
     # Types and genes are the result's own size.
     grid = per.join(sizes, how="cross").join(n, how="cross").join(sums, ["gene", "cell_type"], "left").fillna(0, ["r", "k"])
     whole = F.col("r") + (F.col("n1") - F.col("k")) * (F.col("low") + (zeros + 1) / 2)
-    z = (whole - F.col("n1") * (F.col("n") + 1) / 2) / F.sqrt(F.col("n1") * (F.col("n") - F.col("n1")) * (F.col("n") + 1) / 12.0)
+    z = (whole - F.col("n1") * (F.col("n") + 1) / 2) / F.sqrt(F.col("n1").cast("double") * (F.col("n") - F.col("n1")) * (F.col("n") + 1) / 12.0)
     rows = grid.where("n1 < n").select("cell_type", "gene", z.alias("z"))
     place = F.row_number().over(Window.partitionBy("cell_type").orderBy(F.desc("z"), "gene"))
     return rows.withColumn("place", place).where(F.col("place") <= top)

@@ -611,3 +611,14 @@ def test_cells_at_one_place_are_linked_as_in_one_triangulation(spark, far):
         undirected = {tuple(sorted(e)) for e in edges}
         assert tile == 40.0 or undirected == whole
         whole = undirected
+
+
+def test_rank_sums_of_millions_of_cells_do_not_overflow(spark):
+    """3.5 million cells of two types: n1 (n - n1) (n + 1) is beyond 64 bits."""
+    n = 3_500_000
+    labels = spark.range(n).select(F.col("id").alias("obs"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("cell_type"))
+    counts = spark.createDataFrame([(0, 1, 5.0), (2, 1, 3.0), (1, 2, 4.0)], "obs long, gene long, value double")
+    z = {(r.cell_type, r.gene): r.z for r in matrix.wilcoxon_markers(counts, labels).collect()}
+    half, sd = n / 2, (n / 2 * (n / 2) * (n + 1) / 12) ** 0.5
+    assert abs(z["a", 1] - half / sd) < 1e-9 and abs(z["b", 1] + half / sd) < 1e-9
+    assert abs(z["b", 2] - half / 2 / sd) < 1e-9
