@@ -215,24 +215,27 @@ STEP = "v{k} AS (SELECT v.cell_id, v.gene, labeled, CASE WHEN labeled THEN v.val
 
 
 def diffusion_start(spark, d):
-    cells, spot = R.cells(spark, d), in_spot(spark, d).select("cell_id", "spot_id")
-    counts = in_spot(spark, d).groupBy("spot_id", F.col("cell_type").alias("gene")).agg(F.count("*").cast("double").alias("k"))
-    rows = cells.select("cell_id", F.explode(F.array(*[F.lit(t) for t in R.TYPES])).alias("gene")).join(spot, "cell_id", "left").join(counts, ["spot_id", "gene"], "left")
-    start = rows.select("cell_id", "gene", F.col("spot_id").isNotNull().alias("labeled"), F.coalesce("k", F.lit(0.0)).alias("value"))
-    return start, predict.radius_graph(cells, 6.0)
+    """The cells with the counts of each type in their spot (``v``), and whether they are in one."""
+    inside = cut_lineage(in_spot(spark, d).select("cell_id", "spot_id", "cell_type"))
+    counts = inside.groupBy("spot_id").agg(F.array(*[F.count(F.when(F.col("cell_type") == t, 1)).cast("double") for t in R.TYPES]).alias("k"))
+    rows = R.cells(spark, d).join(inside.select("cell_id", "spot_id"), "cell_id", "left").join(counts, "spot_id", "left")
+    return rows.select("cell_id", "cell_type", "x", "y", F.col("spot_id").isNotNull().alias("labeled"), F.coalesce("k", F.array(*[F.lit(0.0)] * len(R.TYPES))).alias("v"))
+
+
+def _by_gene(values):
+    genes = F.array(*[F.lit(t) for t in R.TYPES])
+    return rounded(values.select("cell_id", "labeled", F.inline(F.arrays_zip(genes.alias("gene"), F.col("v").alias("value")))), "value").select("cell_id", "gene", "labeled", "value")
 
 
 @query(GRAPH + ", " + START + ", " + STEP.format(k=1, p=0) + ", " + STEP.format(k=2, p=1) + " SELECT cell_id, gene, labeled, round(value, 6) AS value FROM v2")
 def label_diffusion(spark, d):
-    start, graph = diffusion_start(spark, d)
-    graph = cut_lineage(graph)  # both steps read it, several times each
-    return rounded(predict.diffusion_step(predict.diffusion_step(start, graph), graph), "value")
+    return _by_gene(predict.near_step(predict.near_step(diffusion_start(spark, d), 6.0), 6.0))
 
 
 @query()
 def label_diffusion_full(spark, d):
     """Diffusion to its end; ends by its change, so without SQL (``label_diffusion`` holds two steps of it against SQL)."""
-    return rounded(predict.diffuse(*diffusion_start(spark, d)), "value")
+    return _by_gene(predict.diffuse_near(diffusion_start(spark, d), 6.0))
 
 
 @query()

@@ -42,3 +42,20 @@ def test_edges_and_weights_match_brute_force(spark, pairs):
     w /= w.sum(1, keepdims=True)
     assert sorted(got) == [tuple(map(int, p)) for p in np.argwhere(w > 0) if home[p[0]]]
     assert all(abs(v - w[p]) < 1e-9 for p, v in got.items())
+
+
+def wide(spark, df):
+    return df.select("cell_id", "cell_type", "x", "y", (F.col("cell_id") % 3 == 0).alias("labeled"), F.array((F.col("cell_id") % 7).cast("double"), F.lit(2.5)).alias("v"))
+
+
+def long(values):
+    return {(r[0], r[1]): r[2] for r in values.select("cell_id", F.posexplode("v").alias("gene", "value")).collect()}
+
+
+def test_a_step_by_tiles_is_that_on_the_graph(spark):
+    df = cells(spark)
+    start = wide(spark, df)
+    rows = start.select("cell_id", "labeled", F.posexplode("v").alias("gene", "value"))
+    want = {(r.cell_id, r.gene): r.value for r in predict.diffusion_step(rows, predict.radius_graph(df, 6.0)).collect()}
+    got = long(predict.near_step(start, 6.0))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
