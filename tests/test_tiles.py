@@ -59,3 +59,12 @@ def test_a_step_by_tiles_is_that_on_the_graph(spark):
     want = {(r.cell_id, r.gene): r.value for r in predict.diffusion_step(rows, predict.radius_graph(df, 6.0)).collect()}
     got = long(predict.near_step(start, 6.0))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_diffusion_by_tiles_ends_where_that_on_the_graph_does(spark):
+    df = cells(spark, 90, 2, 4)
+    start = wide(spark, df)
+    rows = start.select("cell_id", "labeled", F.posexplode("v").alias("gene", "value"))
+    want = {(r.cell_id, r.gene): r.value for r in predict.diffuse(rows, predict.radius_graph(df, 6.0), tol=0.01, patience=2).collect()}
+    got = long(predict.diffuse_near(start, 6.0, tol=0.01, patience=2))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
