@@ -22,7 +22,8 @@ def analyze_interaction(cells: DataFrame, expression: DataFrame, source: str, ne
 
     ``expression``: obs, gene, value in log1p space.
     """
-    target = interaction_target(environment_features(cells, radius, types), source, neighbour).persist()
+    near = spatial.neighborhood_composition(cells, radius, [neighbour], only=source)
+    target = near.select(F.col("cell_id").alias("obs"), F.col(f"n_{neighbour}").cast("double").alias("target")).persist()
     try:
         own = expression.join(target.select("obs"), "obs", "left_semi")
         if threshold is not None:
