@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.functions import circles
-from spotweave.operators import predict, spatial
+from spotweave.operators import detect, predict, spatial
 from spotweave.plans import more_queries  # noqa: F401
 from spotweave.plans import queries
 
@@ -104,3 +104,21 @@ def test_counts_make_no_pairs(spark):
     """A join of the pairs grows with the square of the density."""
     plan = queries.QUERIES["neighborhood_composition"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_removal_of_overlaps_by_tiles_writes_no_pairs_and_is_greedy(spark, monkeypatch):
+    """About 200 tiles; equal boxes, chains across tiles, a box without an area and one without an end."""
+    rng = np.random.default_rng(9)
+    rows = [(i, int(r), int(c), int(r + h), int(c + w)) for i, (r, c, h, w) in enumerate(zip(rng.integers(0, 500, 1500), rng.integers(0, 500, 1500), rng.integers(3, 7, 1500), rng.integers(2, 5, 1500)))]
+    rows += [(2000 + i, 5 * i, 250, 5 * i + 6, 254) for i in range(90)] + [(3000 + i, *rows[i][1:]) for i in range(300)]
+    monkeypatch.setattr(detect, "overlap_pairs", None)
+    odd = [(9000, 10, 10, 10, 20), (9001, 10, 10, None, 20)]
+    frame = spark.createDataFrame(rows + odd, "cell_id long, rmin long, cmin long, rmax long, cmax long")
+    got = sorted(r[0] for r in detect.overlap_dedup(frame, cell=16.0).select("cell_id").collect())
+    area = lambda b: (b[3] - b[1]) * (b[4] - b[2])
+    common = lambda a, b: max(0, min(a[3], b[3]) - max(a[1], b[1])) * max(0, min(a[4], b[4]) - max(a[2], b[2]))
+    kept = []
+    for b in sorted(rows, key=lambda b: (-area(b), b[0])):
+        if not any(common(a, b) > 0.01 * min(area(a), area(b)) for a in kept):
+            kept.append(b)
+    assert got == sorted(b[0] for b in kept + odd)
