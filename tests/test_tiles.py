@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotweave.functions import circles
+from spotweave.functions import circles, kernels
 from spotweave.operators import detect, predict, spatial
 from spotweave.plans import more_queries  # noqa: F401
 from spotweave.plans import queries
@@ -122,3 +122,13 @@ def test_removal_of_overlaps_by_tiles_writes_no_pairs_and_is_greedy(spark, monke
         if not any(common(a, b) > 0.01 * min(area(a), area(b)) for a in kept):
             kept.append(b)
     assert got == sorted(b[0] for b in kept + odd)
+
+
+def test_common_areas_at_once_are_those_one_by_one():
+    """A loop of pairs took 30 times as long."""
+    rng = np.random.default_rng(11)
+    for ka, kb in ((4, 4), (3, 5)):
+        turn = [np.sort(rng.random((300, k)) * 2 * np.pi, 1) for k in (ka, kb)]
+        (ax, ay), (bx, by) = (((1 + rng.random(t.shape) * 3) * np.cos(t) + rng.random((300, 1)) * 4, (1 + rng.random(t.shape) * 3) * np.sin(t)) for t in turn)
+        want = [kernels.common_area(*p) for p in zip(ax, ay, bx, by)]
+        assert np.abs(kernels.common_areas(ax, ay, bx, by) - want).max() < 1e-12
