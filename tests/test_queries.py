@@ -57,7 +57,7 @@ def broadcast_generates(plan: str) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["segment_scores", "neighbor_graph", "neighborhood_composition", "overlap_pairs", "largest_remainder_quota"])
+@pytest.mark.parametrize("name", ["segment_scores", "neighbor_graph", "neighborhood_composition", "overlap_pairs", "largest_remainder_quota", "assignment_counts"])
 def test_unfolded_rows_are_not_broadcast(spark, name):
     """Spark takes nine rows of a cell for as small as the one they come from; sent to all tasks they burst the driver."""
     assert not broadcast_generates(queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
